@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exthash
+from . import es_mix, exthash, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_es_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return es_mix.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dups(_docs(spark, sf_dir)).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_exthash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exthash.dedup(_docs(spark, sf_dir))
 
@@ -26,9 +35,48 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+#: The same steps as the operator's, with one running sum over each source.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, length(coalesce(text, '')) AS n_chars,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS draw
+  FROM documents),
+k AS (
+  SELECT doc_id, source, size,
+         -ln((CAST(draw AS DOUBLE) + 1.0) / 4503599627370497.0)
+         / (CASE WHEN size > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + abs(CAST(n_chars AS DOUBLE) / size - 6.0::DOUBLE) / 6.0::DOUBLE) ELSE 1.0 END) AS key
+  FROM d),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS w
+  FROM k GROUP BY source),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS FIRST) AS pos,
+         2.0::DOUBLE * source_size / w AS ratio, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM s),
+b AS (
+  SELECT *, 1.5::DOUBLE * total - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_size,
+         all_w - coalesce(sum(w) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_w FROM o),
+f AS (SELECT min(pos) AS first FROM b WHERE NOT (ratio * rest_w <= rest_size)),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN first IS NULL OR pos < first THEN 2.0::DOUBLE * source_size
+              ELSE w * (SELECT rest_size FROM b, f WHERE pos = first) / (SELECT rest_w FROM b, f WHERE pos = first) END AS target
+  FROM b, f),
+p AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + CASE WHEN target - epochs * source_size > 0 AND 2 * prefix - size <= 2 * (target - epochs * source_size) THEN size ELSE 0 END AS BIGINT) AS taken
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exthash_dedup": op7_exthash_dedup}
+    return {"op3_es_mix": op3_es_mix, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exthash_dedup": OP7_SQL}
+    return {"op3_es_mix": OP3_SQL, "op7_exthash_dedup": OP7_SQL}
