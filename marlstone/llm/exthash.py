@@ -185,10 +185,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     index = build_index(docs, id_col, text_col).select("key", "sha", "keep_id", F.col("n").alias("group_size"))
     rows = pick(docs, doc_id=id_col, text=text_col).mapInArrow(_keyed, _KEYED)
-    found = rows.join(index, ["key", "sha"])
-    # Only repeated rows (same id, same text) give a number over 1.
-    nth = F.row_number().over(Window.partitionBy("key", "sha", "doc_id").orderBy("keep_id"))
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    # Only repeated rows (same id, same text) give a number over 1. This stands before the join, which Spark may then split by skew.
+    nth = F.row_number().over(Window.partitionBy("key", "sha", "doc_id").orderBy("key"))
+    found = rows.withColumn("nth", nth).join(index, ["key", "sha"])
+    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
