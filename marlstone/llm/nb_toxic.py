@@ -7,7 +7,7 @@ sample texts that have it; a logistic regression with an L1 penalty is fitted on
 accelerated proximal steps. The penalty leaves weight on few places, so that the length
 of a text, all of which is read, doesn't move its score by itself.
 
-Fitting uses at most ``labelled.PER_CLASS`` labelled texts of each class, as sets of
+Fitting uses at most ``PER_CLASS`` labelled texts of each class, as sets of
 numbers that executors make. Scoring is one pass without a shuffle.
 
 Defined cases: a null text is empty; a text without n-grams gets the intercept's score; with no
@@ -31,6 +31,8 @@ from .common import LOWER, pick, raw_texts, slices
 
 LOW, HIGH, BITS = 3, 6, 20
 FOLDS, HELD_OUT = 5, 0
+#: Labelled texts of each class that the fit takes at most: their sets are about 50 MB on the driver.
+PER_CLASS = 1000
 
 
 def grams(raw: bytes) -> np.ndarray:
@@ -69,23 +71,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 2e-4, least: int = 3, rounds: int = 150) -> Model:
+def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 5e-4, least: int = 3, rounds: int = 120) -> Model:
     """A model of n-gram sets; classes weigh the same."""
     y = np.asarray(y, np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), np.log(0.1 / 0.9))
-    every = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    df = np.bincount(every, minlength=1 << BITS)
-    p = np.bincount(every[y[row] == 1], minlength=1 << BITS) + alpha
-    q = np.bincount(every[y[row] == 0], minlength=1 << BITS) + alpha
-    r = np.log((p / (y.sum() + 2 * alpha)) / (q / ((1 - y).sum() + 2 * alpha)))
-    # Places in few texts, or as common in both classes, can't move the fit.
-    used = np.flatnonzero((df >= least) & (np.abs(r) > 0.3))
-    number = np.full(1 << BITS, -1)
-    number[used] = np.arange(len(used))
-    keep = number[every] >= 0
-    col, row = number[every[keep]], row[keep]
+    p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for places, label in zip(sets, y, strict=True):
+        (p if label else q)[places] += 1  # each place is in a set once
+    r = np.log(((p + alpha) / (y.sum() + 2 * alpha)) / ((q + alpha) / ((1 - y).sum() + 2 * alpha)))
+    # Places in few texts, or about as common in both classes, can't move the fit.
+    used = np.flatnonzero((p + q >= least) & (np.abs(r) > 0.5))
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    cols = [c[c >= 0] for c in (number[s] for s in sets)]
+    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols)
+    del cols
     scale = r[used]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
@@ -114,15 +116,15 @@ def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: floa
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = labelled.PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             sets = [grams(t).astype(np.int32).tobytes() for t in raw_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), b.column("y")], ["grams", "y"])
 
     rows = labelled.sample(docs, labels, label, FOLDS, HELD_OUT, per_class, id_col, text_col).mapInArrow(of, "grams binary, y int").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["grams"])))  # sums of floats in one order
-    return fit([np.frombuffer(bytes(r["grams"]), np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows]))
+    rows.sort(key=lambda r: (r["y"], r["grams"]))  # sums of floats in one order
+    return fit([np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["y"] for r in rows]))
 
 
 def _scored(df: DataFrame, model: Model, text_at: str, keep: list[str]) -> DataFrame:

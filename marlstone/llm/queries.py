@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import es_mix, exthash, fm_decontam, simhash
+from . import es_mix, exthash, fm_decontam, mil_quality, nb_toxic, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op3_es_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return es_mix.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_nb_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return nb_toxic.score(docs, nb_toxic.train(docs, _labels(spark, sf_dir)))
+
+
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return mil_quality.score(docs, mil_quality.train(docs, _labels(spark, sf_dir)))
+
+
 def op6_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dups(_docs(spark, sf_dir)).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -102,7 +116,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fm_decontam": op1_fm_decontam, "op3_es_mix": op3_es_mix, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup}
+    return {"op1_fm_decontam": op1_fm_decontam, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
