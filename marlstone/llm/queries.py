@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import es_mix, exthash, fm_decontam, mil_quality, nb_toxic, simhash
+from . import es_mix, exthash, fm_decontam, mil_quality, nb_toxic, simhash, token_prefix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op7_exthash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exthash.dedup(_docs(spark, sf_dir))
 
 
+def op8_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_prefix.counts(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7_SQL = f"""
@@ -116,7 +122,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fm_decontam": op1_fm_decontam, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup}
+    return {"op1_fm_decontam": op1_fm_decontam, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup, "op8_token_prefix": op8_token_prefix}
 
 
 def oracle_sql() -> dict[str, str]:
