@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import es_mix, exthash, fm_decontam, mil_quality, nb_toxic, simhash, token_prefix
+from . import es_mix, exthash, fm_decontam, mil_quality, nb_toxic, pii_boost, simhash, token_prefix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op2_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.find(_docs(spark, sf_dir))
+
+
 def op3_es_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return es_mix.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -122,7 +126,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fm_decontam": op1_fm_decontam, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup, "op8_token_prefix": op8_token_prefix}
+    return {"op1_fm_decontam": op1_fm_decontam, "op2_pii_boost": op2_pii_boost, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup, "op8_token_prefix": op8_token_prefix}
 
 
 def oracle_sql() -> dict[str, str]:
