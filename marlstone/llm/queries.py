@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import es_mix, exthash, fm_decontam, mil_quality, nb_toxic, pii_boost, secret_markov, simhash, token_prefix
+from . import es_mix, exthash, fm_decontam, license_tfidf, mil_quality, nb_toxic, pii_boost, secret_markov, simhash, token_prefix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op9_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.find(_docs(spark, sf_dir))
 
 
+def op10_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    found = license_tfidf.scan(_docs(spark, sf_dir).withColumn("path", path))
+    return found.select(F.col("id").alias("doc_id"), "license", "cosine", "license_file", "inherited", "license_from")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7_SQL = f"""
@@ -130,7 +136,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fm_decontam": op1_fm_decontam, "op2_pii_boost": op2_pii_boost, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup, "op8_token_prefix": op8_token_prefix, "op9_secret_markov": op9_secret_markov}
+    return {"op1_fm_decontam": op1_fm_decontam, "op2_pii_boost": op2_pii_boost, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup, "op8_token_prefix": op8_token_prefix, "op9_secret_markov": op9_secret_markov, "op10_license_tfidf": op10_license_tfidf}
 
 
 def oracle_sql() -> dict[str, str]:
