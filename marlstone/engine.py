@@ -114,7 +114,7 @@ class Querier:
         self.engine, self.mint, self.maxt = engine, mint, maxt
 
     def _tables(self) -> tuple[DataFrame, DataFrame]:
-        return self.engine.store.timed(self.engine.version), self.engine.store.samples(self.engine.version)
+        return self.engine.store.timed(self.engine.version), self.engine.store.samples(self.engine.version, self.mint, self.maxt)
 
     def select(self, selector: Selector) -> DataFrame:
         """tsid, t, v."""

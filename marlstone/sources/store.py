@@ -8,7 +8,9 @@ version that stays readable.
 New series are *hot*: rows of a log folder for each commit. Compaction folds log and registry into
 one registry folder and writes the postings of the samples since the last compaction
 as a *cold* epoch, partitioned by label name and sorted by value, so that a reader skips
-other names by folder and other values by row group. Old folders go when no kept version needs them.
+other names by folder and other values by row group. It also writes each series' times in the epoch, so that nobody
+reads old samples to learn when a series was active, and the samples themselves by day, sorted by series.
+Old folders go when no kept version needs them.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import json
 import sys
 import uuid
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import label_key
 from ..functions.storage import Folder, settle
 from ..model import COMPACT_AFTER, SAMPLES, SERIES, CheckpointPolicy
 from ..operators import registry
@@ -47,13 +49,25 @@ class Manifest:
     samples: list[str] = field(default_factory=list)
     postings: list[str] = field(default_factory=list)
     bitmaps: list[str] = field(default_factory=list)
+    times: list[str] = field(default_factory=list)
     batches: dict[str, int] = field(default_factory=dict)
 
     def folders(self) -> set[str]:
-        return {*self.series, *self.log, *self.hot_samples, *self.samples, *self.postings, *self.bitmaps}
+        return {f for kind in KINDS for f in getattr(self, kind)}
+
+
+#: The lists of a manifest that name folders, and where those of each list lie.
+KINDS = {"series": "series", "log": "log", "hot_samples": "samples", "samples": "samples", "postings": "postings", "bitmaps": "bitmaps", "times": "times"}
 
 
 _POSTINGS = "value string, tsid long, min_t long, max_t long, name string"
+_TIMES = "tsid long, min_t long, max_t long"
+_DAILY = "tsid long, t long, v double, day int"
+DAY_MS = 86_400_000
+
+
+def _day(t: Column) -> Column:
+    return F.floor(t / F.lit(float(DAY_MS))).cast("int")
 
 
 class Store:
@@ -98,33 +112,42 @@ class Store:
         m = self.manifest(version)
         return self._read([*m.series, *m.log], SERIES)
 
-    def samples(self, version: int | None = None) -> DataFrame:
+    def samples(self, version: int | None = None, mint: int | None = None, maxt: int | None = None) -> DataFrame:
+        """tsid, t, v with mint <= t <= maxt, as far as they are given; other days' folders aren't read."""
         m = self.manifest(version)
-        return self._read([*m.samples, *m.hot_samples], SAMPLES)
+        hot, cold = self._read(m.hot_samples, SAMPLES), self._union(m.samples, _DAILY)
+        if mint is not None:
+            hot, cold = hot.where(F.col("t") >= mint), cold.where((F.col("day") >= mint // DAY_MS) & (F.col("t") >= mint))
+        if maxt is not None:
+            hot, cold = hot.where(F.col("t") <= maxt), cold.where((F.col("day") <= maxt // DAY_MS) & (F.col("t") <= maxt))
+        return cold.select("tsid", "t", "v").unionByName(hot)
+
+    def _union(self, names: list[str], schema: str) -> DataFrame:
+        """Folders that are each partitioned by a column."""
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.folder.path}/{n}") for n in names])
 
     def cold_postings(self, version: int | None = None) -> DataFrame:
         """name, value, tsid, min_t, max_t of the compacted epochs; a filter on the name reads its folders only."""
-        m = self.manifest(version)
-        out = None
-        for n in m.postings:
-            one = self.spark.read.schema(_POSTINGS).parquet(f"{self.folder.path}/{n}")
-            out = one if out is None else out.unionByName(one)
-        return (self.spark.createDataFrame([], _POSTINGS) if out is None else out).select("name", "value", "tsid", "min_t", "max_t")
+        return self._union(self.manifest(version).postings, _POSTINGS).select("name", "value", "tsid", "min_t", "max_t")
+
+    def _hot_times(self, m: Manifest) -> DataFrame:
+        return self._read(m.hot_samples, SAMPLES).groupBy("tsid").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"))
 
-    def _times(self, m: Manifest, names: list[str]) -> DataFrame:
-        """The registry's series that have samples in ``names``, with their times there."""
-        seen = self._read(names, SAMPLES).groupBy("tsid").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"))
-        return self._read([*m.series, *m.log], SERIES).join(seen, "tsid").select("tsid", "labels", "min_t", "max_t")
+    def _labelled(self, m: Manifest, times: DataFrame) -> DataFrame:
+        return self._read([*m.series, *m.log], SERIES).join(times, "tsid").select("tsid", "key", "labels", "min_t", "max_t")
 
     def postings(self, version: int | None = None) -> DataFrame:
         """Cold postings and those of the samples since the last compaction."""
         m = self.manifest(version)
-        return self.cold_postings(version).unionByName(postings(self._times(m, m.hot_samples)))
+        return self.cold_postings(version).unionByName(postings(self._labelled(m, self._hot_times(m))))
 
     def timed(self, version: int | None = None) -> DataFrame:
         """tsid, key, labels, min_t, max_t of the series that have samples."""
         m = self.manifest(version)
-        return self._times(m, [*m.samples, *m.hot_samples]).withColumn("key", label_key(F.col("labels"))).select("tsid", "key", "labels", "min_t", "max_t")
+        times = self._read(m.times, _TIMES).unionByName(self._hot_times(m))
+        return self._labelled(m, times.groupBy("tsid").agg(F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t")))
 
     # Writing
 
@@ -158,14 +181,21 @@ class Store:
             return m
         if self.policy is CheckpointPolicy.PRINT:
             print(f"{m.tsid + 1},b", file=sys.stderr)
-        series, rows, maps = self._new("series"), self._new("postings"), self._new("bitmaps")
+        series, rows, maps, times, cold = (self._new(k) for k in ("series", "postings", "bitmaps", "times", "samples"))
+        at = lambda name: f"{self.folder.path}/{name}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.series().repartitionByRange(parts, "tsid").sortWithinPartitions("tsid").write.parquet(f"{self.folder.path}/{series}")
-        cold = settle(postings(self._times(m, m.hot_samples)))
+        self.series().repartitionByRange(parts, "tsid").sortWithinPartitions("tsid").write.parquet(at(series))
+        seen = settle(self._hot_times(m))
+        seen.repartitionByRange(parts, "tsid").sortWithinPartitions("tsid").write.parquet(at(times))
+        listed = settle(postings(self._labelled(m, seen)))
         # By name and value, so that a name with most rows isn't one task's.
-        cold.repartitionByRange(parts, "name", "value", "tsid").sortWithinPartitions("name", "value", "tsid").write.partitionBy("name").parquet(f"{self.folder.path}/{rows}")
-        bitmaps(cold).sortWithinPartitions("name", "value", "bucket").write.partitionBy("name").parquet(f"{self.folder.path}/{maps}")
-        m = self._publish(replace(m, version=m.version + 1, compacted_tsid=m.tsid, compacted_t=m.max_t, series=[series], log=[], samples=[*m.samples, *m.hot_samples], hot_samples=[], postings=[*m.postings, rows], bitmaps=[*m.bitmaps, maps]))
+        listed.repartitionByRange(parts, "name", "value", "tsid").sortWithinPartitions("name", "value", "tsid").write.partitionBy("name").parquet(at(rows))
+        bitmaps(listed).sortWithinPartitions("name", "value", "bucket").write.partitionBy("name").parquet(at(maps))
+        daily = self._read(m.hot_samples, SAMPLES).withColumn("day", _day(F.col("t")))
+        daily.repartitionByRange(parts, "day", "tsid").sortWithinPartitions("day", "tsid", "t").write.partitionBy("day").parquet(at(cold))
+        m = self._publish(
+            replace(m, version=m.version + 1, compacted_tsid=m.tsid, compacted_t=m.max_t, series=[series], log=[], samples=[*m.samples, cold], hot_samples=[], postings=[*m.postings, rows], bitmaps=[*m.bitmaps, maps], times=[*m.times, times])
+        )
         if self.policy is CheckpointPolicy.PRINT:
             print(f"{m.tsid + 1},e", file=sys.stderr)
         return m
@@ -176,7 +206,7 @@ class Store:
         kept = known[-keep:] if keep else []
         used = {f for v in kept for f in self.manifest(v).folders()}
         gone = [f"manifest/{n}" for n in self.folder.names("manifest") if n not in {f"v{v:08d}.json" for v in kept}]
-        gone += [f"{kind}/{n}" for kind in ("series", "log", "samples", "postings", "bitmaps") for n in self.folder.names(kind) if f"{kind}/{n}" not in used]
+        gone += [f"{kind}/{n}" for kind in sorted({*KINDS.values()}) for n in self.folder.names(kind) if f"{kind}/{n}" not in used]
         for name in gone:
             self.folder.remove(name)
         return gone
