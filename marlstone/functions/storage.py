@@ -7,11 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset."""
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not now.isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return now.get()
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (a new local folder where that is unset); what follows reads the files."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+    """``df`` written to the shared folder; what follows reads the files."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.storage import settle
+from .engine import Engine
+from .functions.storage import settle, shared_dir
 from .model import NAME, Matcher, eq, gt, gte, lt, lte, matches, neq, not_matches
 from .operators import activity, postings, registry, select, values
 from .operators.resolve import resolve
 from .sources import events
+from .streaming.ingest import ingest
 
 #: 2024-01-10 and 2024-01-17, UTC; epochs are weeks from 2024-01-01.
 A, B, ORIGIN = 1_704_844_800_000, 1_705_449_600_000, 1_704_067_200_000
@@ -107,6 +110,64 @@ def bitmap_buckets(spark: SparkSession, d: str) -> DataFrame:
     return postings.bitmap_counts(postings.bitmaps(rows, "k"), "k", "bucket")
 
 
+def _bitmaps(how: Callable[[DataFrame], DataFrame], first: str, second: str) -> Query:
+    def of(spark: SparkSession, d: str) -> DataFrame:
+        p = _p3(spark, d)
+        return postings.bitmap_tsids(how(postings.bitmaps(p.where(((F.col("name") == "event_type") & (F.col("value") == first)) | ((F.col("name") == "band") & (F.col("value") == second))))))
+
+    return of
+
+
+def seek_samples(spark: SparkSession, d: str) -> DataFrame:
+    tsids = resolve(F1(spark, d), [eq("event_type", "signup")])
+    return select.seek(_x1(spark, d).join(tsids, "tsid", "left_semi"), B)
+
+
+def series_set(spark: SparkSession, d: str) -> DataFrame:
+    s = select.grouped(_x1(spark, d))
+    at = F.col("samples")
+    return s.select("tsid", F.size(at).cast("long").alias("n"), F.element_at(at, 1)["t"].alias("first_t"), F.element_at(at, -1)["t"].alias("last_t"))
+
+
+def _store(spark: SparkSession, d: str, compact: bool) -> Engine:
+    """A new store with two commits, the first of them compacted if asked."""
+    engine = Engine(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    engine.append(_before(spark, d), "first")
+    if compact:
+        engine.compact()
+    engine.append(_after(spark, d), "second")
+    engine.append(_after(spark, d), "second")  # a batch that comes again counts once
+    return engine
+
+
+def manual_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Hot and cold together, the same matchers before and after compaction."""
+    out = _store(spark, d, True).querier(A, B).select_with_labels([eq("event_type", "error"), lt("user_id", "2")])
+    return out.select(*_flat("event_type", "user_id"), "t", "v")
+
+
+def recovery(spark: SparkSession, d: str) -> DataFrame:
+    """A store opened anew: the registry that its manifest and log give."""
+    path = _store(spark, d, False).store.folder.path
+    return Engine(spark, path).store.series().select(*_flat("event_type", "user_id"), F.col("created_t"))
+
+
+def store_at_version(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d, True).store.series(version=1).select(*_flat("event_type", "user_id"))
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream into a store."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = events.sample_rows(spark, d, spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    labelled = events.labelled(stream, "F1")
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    engine = Engine(spark, f"{path}/store")
+    ingest(labelled, engine.store, f"{path}/checkpoint", name=f"ingest_{uuid.uuid4().hex}").awaitTermination()
+    out = engine.querier(A, B).select_with_labels([eq("event_type", "error"), lt("user_id", "2")])
+    return out.select(*_flat("event_type", "user_id"), "t", "v")
+
+
 def queries() -> dict[str, Query]:
     return {
         "series_with_labels": series_with_labels,
@@ -138,6 +199,17 @@ def queries() -> dict[str, Query]:
         "postings_and": _lists(postings.both, "purchase", "high"),
         "postings_or": _lists(postings.either, "click", "high"),
         "postings_andnot": _lists(postings.without, "purchase", "low"),
+        "bitmap_and": _bitmaps(lambda m: postings.bitmap_and(m, 2), "purchase", "high"),
+        "bitmap_or": _bitmaps(postings.bitmap_or, "click", "high"),
+        "layout_choice": lambda s, d: postings.layout(_p3(s, d)),
+        "label_names": lambda s, d: values.label_names(_p3(s, d)),
+        "postings_cardinality": lambda s, d: postings.cardinality(postings.of(_p3(s, d), "band", "high")),
+        "seek_samples": seek_samples,
+        "series_set": series_set,
+        "manual_compact": manual_compact,
+        "recovery": recovery,
+        "store_at_version": store_at_version,
+        "stream_ingest": stream_ingest,
         "bitmap_cardinality": lambda s, d: postings.bitmap_counts(postings.bitmaps(_p3(s, d))),
         "bitmap_buckets": bitmap_buckets,
         "posting_intervals": lambda s, d: postings.intervals(_p3(s, d)),
@@ -206,5 +278,18 @@ def oracle_sql() -> dict[str, str]:
         "add_series_new": f"SELECT (SELECT count(*) FROM (SELECT DISTINCT event_type, user_id FROM smp WHERE t < {A})) + row_number() OVER (ORDER BY event_type, user_id) AS tsid, event_type, user_id FROM (SELECT event_type, user_id FROM smp WHERE t >= {A} EXCEPT SELECT event_type, user_id FROM smp WHERE t < {A})",
         "append_samples": "SELECT tsid, count(*) AS n, round(sum(v), 2) AS sum_v FROM x1 GROUP BY tsid",
     }
+    out |= {
+        "bitmap_and": out["postings_and"],
+        "bitmap_or": out["postings_or"],
+        "layout_choice": "SELECT name, CASE WHEN ceil(count(*) * 12 / 4096.0) * 4096 <= count(DISTINCT value) * 4096 THEN 'list' ELSE 'bitmap' END AS layout FROM p3 GROUP BY name",
+        "label_names": "SELECT DISTINCT name FROM p3",
+        "postings_cardinality": f"SELECT count(DISTINCT tsid) AS n FROM ({_LIST.format('band', 'high')})",
+        "seek_samples": f"SELECT tsid, t, v FROM x1 WHERE event_type = 'signup' AND t >= {B}",
+        "series_set": "SELECT tsid, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM x1 GROUP BY tsid",
+        "manual_compact": f"SELECT event_type, user_id, t, v FROM x1 WHERE event_type = 'error' AND user_id < '2' AND t BETWEEN {A} AND {B}",
+        "recovery": "SELECT event_type, user_id, min_t AS created_t FROM s1",
+        "store_at_version": out["at_version"],
+    }
+    out["stream_ingest"] = out["manual_compact"]
     out |= {f"match_and_{k}": out["match_and"] for k in ("postings", "bitmap")} | {"match_neq_postings": out["match_neq"]}
     return {name: _BASE + sql for name, sql in out.items()}

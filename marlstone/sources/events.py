@@ -15,11 +15,12 @@ METRIC = "events_value"
 SETS = {"F1": ("event_type", "user_id"), "F2": ("event_type", "user_id", "k"), "F3": ("event_type", "user_id", "band")}
 
 
-def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t, v and the label columns of each event."""
+def sample_rows(spark: SparkSession, sf_dir: str, table: DataFrame | None = None) -> DataFrame:
+    """t, v and the label columns of each event of ``table``, which may be a stream."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     band = F.when(F.col("value") < 50, "low").when(F.col("value") < 150, "mid").otherwise("high")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    table = spark.read.parquet(f"{sf_dir}/events.parquet") if table is None else table
+    return table.select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
         F.col("value").alias("v"),
         "event_type",
@@ -29,10 +30,14 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+def labelled(rows: DataFrame, which: str) -> DataFrame:
     """labels, t, v of label set ``which``."""
     columns = {NAME: F.lit(METRIC)} | {n: F.col(n) for n in SETS[which]}
-    return sample_rows(spark, sf_dir).select(label_map(columns).alias("labels"), "t", "v")
+    return rows.select(label_map(columns).alias("labels"), "t", "v")
+
+
+def samples(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    return labelled(sample_rows(spark, sf_dir), which)
 
 
 _BUILT: dict[tuple[str, str, str], DataFrame] = {}
