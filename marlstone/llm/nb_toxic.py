@@ -72,7 +72,7 @@ class Model:
 
 
 def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 5e-4, least: int = 3, rounds: int = 120) -> Model:
-    """A model of n-gram sets; classes weigh the same."""
+    """A model of n-gram sets, which are used up; classes weigh the same."""
     y = np.asarray(y, np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), np.log(0.1 / 0.9))
@@ -85,17 +85,20 @@ def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: floa
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
     cols = [c[c >= 0] for c in (number[s] for s in sets)]
-    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
-    col = np.concatenate(cols)
-    del cols
+    sets.clear()
     scale = r[used]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
+    # Row by row: a product over all pairs at once would need several times the sets' memory.
     def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=(w * scale)[col], minlength=len(y))
+        scaled = w * scale
+        return np.array([scaled[c].sum() for c in cols])
 
     def back(g: np.ndarray) -> np.ndarray:
-        return np.bincount(col, weights=g[row], minlength=len(used)) * scale
+        out = np.zeros(len(used))
+        for c, x in zip(cols, g.tolist(), strict=True):
+            out[c] += x
+        return out * scale
 
     w, b = np.zeros(len(used)), 0.0
     v = back(np.ones(len(y)) / len(y))
@@ -124,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     rows = labelled.sample(docs, labels, label, FOLDS, HELD_OUT, per_class, id_col, text_col).mapInArrow(of, "grams binary, y int").collect()
     rows.sort(key=lambda r: (r["y"], r["grams"]))  # sums of floats in one order
-    return fit([np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["y"] for r in rows]))
+    sets, y = [np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["y"] for r in rows])
+    del rows
+    return fit(sets, y)
 
 
 def _scored(df: DataFrame, model: Model, text_at: str, keep: list[str]) -> DataFrame:
