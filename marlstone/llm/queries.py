@@ -135,9 +135,43 @@ FROM p
 """
 
 
+def _op10_sql() -> str:
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    templates = ", ".join(f"({text(f'{name}/{k}')}, {text(name)}, {text(term)}, {n})" for name, k, term, n in license_tfidf.template_terms())
+    n_templates = sum(len(v) for v in license_tfidf.TEMPLATES.values())
+    mark, term = (text(x) for x in (license_tfidf.MARK, license_tfidf.TERM))
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(source || '/', '') || coalesce(lang || '/', '') AS above, rtrim(coalesce(source || '/', '') || coalesce(lang || '/', ''), '/') AS dir, coalesce(text, '') AS text FROM documents),
+tpl(template, license, term, tf) AS (VALUES {templates}),
+marked AS (SELECT * FROM d WHERE regexp_matches(text, {mark})),
+line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS unit, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM marked)),
+u AS (SELECT doc_id, unit, regexp_extract_all(lower(line), {term}) AS terms FROM line WHERE regexp_matches(line, {mark})),
+hit AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(terms) AS term FROM u) WHERE term IN (SELECT term FROM tpl) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM (SELECT term, count(*) AS n FROM hit GROUP BY 1 UNION ALL SELECT term, count(DISTINCT template) FROM tpl GROUP BY 1) GROUP BY 1),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM u) + {n_templates})::DOUBLE / (1 + df)) + 1 AS idf FROM df),
+weight AS (SELECT template, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS share FROM tpl JOIN idf USING (term)),
+norm AS (SELECT doc_id, unit, sum((tf * idf) ** 2) AS known, sum(tf) AS n_known FROM hit JOIN idf USING (term) GROUP BY ALL),
+dot AS (SELECT doc_id, unit, template, license, sum(tf * idf * share) AS dot FROM hit JOIN idf USING (term) JOIN weight USING (term) GROUP BY ALL),
+scored AS (SELECT doc_id, license, round(dot / sqrt(known + (len(terms) - n_known)), {license_tfidf.PLACES}) AS cosine FROM dot JOIN norm USING (doc_id, unit) JOIN u USING (doc_id, unit)),
+best AS (SELECT DISTINCT ON (doc_id) doc_id, license, cosine FROM scored WHERE cosine >= {license_tfidf.LEAST} ORDER BY doc_id, cosine DESC, license),
+told AS (
+  SELECT d.doc_id, dir, license, cosine,
+         coalesce((SELECT sum(len(terms)) FROM u WHERE u.doc_id = d.doc_id) >= {license_tfidf.FILE_SHARE} * len(regexp_extract_all(lower(text), {term})), false) AND license IS NOT NULL AS license_file
+  FROM d LEFT JOIN best USING (doc_id)),
+given AS (SELECT DISTINCT ON (dir) dir, license FROM told WHERE license_file ORDER BY dir, cosine DESC, license),
+near AS (
+  SELECT DISTINCT ON (a.dir) a.dir, g.license AS inherited
+  FROM (SELECT DISTINCT dir FROM told) a JOIN given g ON g.dir = a.dir OR g.dir = '' OR starts_with(a.dir, g.dir || '/') ORDER BY a.dir, length(g.dir) DESC)
+SELECT doc_id, license, cosine, license_file, inherited, CASE WHEN license IS NOT NULL THEN 'notice' WHEN inherited IS NOT NULL THEN 'directory' END AS license_from
+FROM told LEFT JOIN near USING (dir)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_fm_decontam": op1_fm_decontam, "op2_pii_boost": op2_pii_boost, "op3_es_mix": op3_es_mix, "op4_nb_toxic": op4_nb_toxic, "op5_mil_quality": op5_mil_quality, "op6_popcount_simhash": op6_popcount_simhash, "op7_exthash_dedup": op7_exthash_dedup, "op8_token_prefix": op8_token_prefix, "op9_secret_markov": op9_secret_markov, "op10_license_tfidf": op10_license_tfidf}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fm_decontam": OP1_SQL, "op3_es_mix": OP3_SQL, "op7_exthash_dedup": OP7_SQL}
+    return {"op1_fm_decontam": OP1_SQL, "op3_es_mix": OP3_SQL, "op7_exthash_dedup": OP7_SQL, "op10_license_tfidf": _op10_sql()}
