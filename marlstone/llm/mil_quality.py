@@ -64,10 +64,10 @@ def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shares = np.bincount(passage * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES) / size[:, None]
 
     inside = kinds > 1
-    edge = np.concatenate((inside, [False]))
-    edge[starts[1:] - 1] &= False  # a word ends with its text
-    opens = np.flatnonzero(edge[:-1] & ~np.concatenate(([False], edge[:-2])))
-    closes = np.flatnonzero(edge[:-1] & ~edge[1:]) + 1
+    head, tail = np.zeros(len(b), bool), np.zeros(len(b), bool)
+    head[starts], tail[starts + lengths - 1] = True, True  # a word ends with its text
+    opens = np.flatnonzero(inside & (head | ~np.concatenate(([False], inside[:-1]))))
+    closes = np.flatnonzero(inside & (tail | ~np.concatenate((inside[1:], [False])))) + 1
     own = passage[opens] if len(opens) else np.empty(0, np.int64)
     # A word's first 8 bytes and length stand for it.
     wide = np.concatenate((b, np.zeros(8, np.uint8)))
