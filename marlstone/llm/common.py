@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Functions of this subpackage travel to executors by value, so that a cluster needs no copy of it.
@@ -33,6 +33,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return safe.select(*out)
 
 
+def null_safe(key: Column) -> list[Column]:
+    """Two columns that are equal for equal keys, null among them: some_id and no_id."""
+    return [F.coalesce(key.cast("long"), F.lit(0)).alias("some_id"), key.isNull().alias("no_id")]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, parts, pick, raw_texts, shared_table, slices
+from .common import LOWER, null_safe, parts, pick, raw_texts, shared_table, slices
 
 #: Entries that a bucket holds before it is split.
 BUCKET = 512
@@ -207,8 +207,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shas, pa.binary())], [*b.schema.names, "mine"])
 
     schema = T.StructType([*safe.schema.fields, T.StructField("mine", T.BinaryType())])
-    index = build_index(docs, id_col, text_col).select("sha", "keep_id")
-    rows = safe.mapInArrow(digested, schema)
-    found = rows.join(index, (rows["mine"] == index["sha"]) & rows[at_id].eqNullSafe(index["keep_id"]))
-    nth = F.row_number().over(Window.partitionBy("mine").orderBy(at_id))
-    return found.withColumn("nth", nth).where("nth = 1").select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    index = build_index(docs, id_col, text_col).select(F.col("sha").alias("mine"), *null_safe(F.col("keep_id")))
+    rows = safe.mapInArrow(digested, schema).select("*", *null_safe(F.col(at_id)))
+    # The number of a repeated row needs the rows dealt just as the join does.
+    nth = F.row_number().over(Window.partitionBy("mine", "some_id", "no_id").orderBy("mine"))
+    found = rows.join(index, ["mine", "some_id", "no_id"]).withColumn("nth", nth).where("nth = 1")
+    return found.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
