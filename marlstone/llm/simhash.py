@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, parts, pick, raw_texts, settle, slices
+from .common import LOWER, null_safe, parts, pick, raw_texts, settle, slices
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -199,11 +199,12 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each component: that with the component's id."""
+    """``docs``, all columns, with one document of each component: that with the component's id. An id stands for one document."""
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id = f"c{names.index(id_col)}"
-    ids = near_dups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    found = safe.join(ids, safe[at_id].eqNullSafe(ids["doc_id"]))
-    nth = F.row_number().over(Window.partitionBy(at_id).orderBy(at_id))
-    return found.withColumn("nth", nth).where("nth = 1").select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    ids = near_dups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*null_safe(F.col("doc_id"))).distinct()
+    # The number of a repeated id needs the rows dealt just as the join does.
+    nth = F.row_number().over(Window.partitionBy("some_id", "no_id").orderBy("no_id"))
+    found = safe.select("*", *null_safe(F.col(at_id))).join(ids, ["some_id", "no_id"]).withColumn("nth", nth).where("nth = 1")
+    return found.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
