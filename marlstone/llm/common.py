@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
 import types
@@ -61,9 +63,28 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet files in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def drop_shared_tables() -> None:
+    """Removes the tables that ``shared_table`` has written in this process; DataFrames on them can't be read any more."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        drop_shared_tables()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
+#: What a given weight that is null or not over 0 counts as: such documents come last.
+LEAST_WEIGHT = 1e-9
 
 
 def quality_weight(n_chars: Column, size: Column) -> Column:
@@ -63,13 +65,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, weight_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken.
 
-    ``weight_col`` names a column of quality weights over 0; without it
-    ``quality_weight`` is used.
+    ``weight_col`` names a column of quality weights; without it ``quality_weight`` is used.
     """
     columns = {"doc_id": id_col, "text": text_col, "source": source_col} | ({"given": weight_col} if weight_col else {})
     text = F.coalesce(F.col("text"), F.lit(""))
     d = pick(docs, **columns).withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    d = d.withColumn("w", F.col("given").cast("double") if weight_col else quality_weight(F.length(text), F.col("size")))
+    given = F.when(F.col("given") > 0, F.col("given").cast("double")).otherwise(LEAST_WEIGHT) if weight_col else None
+    d = d.withColumn("w", given if weight_col else quality_weight(F.length(text), F.col("size")))
     hex13 = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13)
     u = (F.conv(hex13, 16, 10).cast("double") + 1.0) / float(2**52 + 1)
     rows = settle(d.select("doc_id", "source", "size", (-F.log(u) / F.col("w")).alias("key")))

@@ -146,6 +146,12 @@ def test_mix_prefers_weight(spark):
     assert n[4.0] > 1.8 * n[1.0]
 
 
+def test_mix_keeps_rows_without_weight(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", None), (2, "c d", "s", 0.0), (3, "e f", "s", -1.0), (4, "g h", "s", 2.0)], "doc_id long, text string, source string, w double")
+    out = {r["doc_id"]: r["taken"] for r in es_mix.mix(docs, weight_col="w").collect()}
+    assert len(out) == 4 and out[4] == 4 and sum(out.values()) == 12
+
+
 # 4, 5
 
 @pytest.mark.parametrize("op,label", [(nb_toxic, "toxic"), (mil_quality, "quality")])
@@ -300,6 +306,18 @@ def test_colliding_keys_chain(spark, odd, monkeypatch):
     assert counted((r["keep_id"], r["n"]) for r in index) == counted(want.values()) and {r["chain"] for r in index} == set(range(len(want)))
 
 
+def test_shared_tables_go(spark):
+    from marlstone.llm import common
+
+    common.drop_shared_tables()
+    df = common.shared_table(spark.range(3).toDF("x"), "try")
+    path = common._TABLES[-1][1]
+    assert df.count() == 3
+    common.drop_shared_tables()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 # 8
 
 @pytest.fixture(scope="module")
