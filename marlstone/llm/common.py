@@ -107,8 +107,15 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, so that a batch of long texts is not held twice."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and ``size`` bytes, or one row, so that a task's arrays stay small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        left = [batch]
+        while left:
+            b = left.pop()
+            if b.num_rows > rows:
+                left += [b.slice(rows), b.slice(0, rows)]
+            elif b.nbytes > size and b.num_rows > 1:
+                left += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
+            elif b.num_rows:
+                yield b

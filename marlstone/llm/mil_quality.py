@@ -59,7 +59,7 @@ def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # Where each passage starts in the joined bytes.
     begin = np.repeat(starts - PASSAGE * first[:-1], counts) + PASSAGE * np.arange(n)
     size = np.diff(np.concatenate((begin, [len(b)])))
-    passage = np.repeat(np.arange(n), size)
+    passage = np.repeat(np.arange(n, dtype=np.int32), size)
     kinds = _CLASSES[b]
     shares = np.bincount(passage * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES) / size[:, None]
 

@@ -30,14 +30,21 @@ from . import labelled
 from .common import LOWER, pick, raw_texts, slices
 
 LOW, HIGH, BITS = 3, 6, 20
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
 FOLDS, HELD_OUT = 5, 0
 #: Labelled texts of each class that the fit takes at most: their sets are about 50 MB on the driver.
 PER_CLASS = 1000
 
 
 def grams(raw: bytes) -> np.ndarray:
-    """The places of a text's n-grams, each once."""
+    """The places of a text's n-grams, each once. Longer texts go in pieces that overlap by an n-gram less one byte."""
     body = b" " + b" ".join(raw.translate(LOWER).split()) + b" "
+    pieces = [_grams(body[at : at + PIECE + HIGH - 1]) for at in range(0, max(len(body) - HIGH + 1, 1), PIECE)]
+    return pieces[0] if len(pieces) == 1 else once(np.concatenate(pieces))
+
+
+def _grams(body: bytes) -> np.ndarray:
     if len(body) < LOW:
         return np.empty(0, np.int64)
     b = np.frombuffer(body, np.uint8).astype(np.uint64)

@@ -25,6 +25,7 @@ by ``keep_one``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +39,9 @@ from .common import LOWER, null_safe, parts, pick, raw_texts, settle, slices
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+#: Bytes of a text that are hashed together.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Members of a cell that are compared with each other in one piece.
 BLOCK = 1024
 #: Blocks of coordinates of the grids, and how many of them a cell fixes.
@@ -46,21 +50,40 @@ BLOCKS, FIXED = 6, 3
 
 def fingerprint(body: bytes, width: int = SHINGLE) -> int:
     """The fingerprint of a text in UTF-8, lower-cased."""
-    words = body.split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    hashed = xxhash.xxh64_intdigest
-    n = len(words) - width + 1
-    hashes = np.fromiter([hashed(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
+    counts, total = np.zeros(64, np.int64), 0
+    for words in _runs(body, width):
+        n = max(len(words) - width + 1, 1)
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        hashed = xxhash.xxh64_intdigest
+        hashes = np.fromiter([hashed(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64, n)
+        for at in range(0, n, 1 << 16):
+            counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += n
+    return sum(1 << i for i in np.flatnonzero(2 * counts > total).tolist()) if total else 0
+
+
+def _runs(body: bytes, width: int) -> Iterator[list[bytes]]:
+    """The words in runs of about ``PIECE`` bytes, each after the first led by the last ``width - 1`` words before it."""
+    if len(body) <= PIECE:
+        if words := body.split():
+            yield words
+        return
+    at, lead, some = 0, [], False
+    while at < len(body):
+        blank = _BLANK.search(body, at + PIECE)
+        end = blank.end() if blank else len(body)
+        words = lead + body[at:end].split()
+        at = end
+        if len(words) < width:
+            lead = words
+            continue
+        some = True
+        yield words
+        lead = words[len(words) - width + 1 :]
+    if lead and not some:
+        yield lead
 
 
 def _signed(x: int) -> int:

@@ -219,6 +219,28 @@ def test_near_dups(odd):
     assert len(set(want.values())) < len({plain.fingerprint(t) for _, t in rows})
 
 
+@pytest.mark.parametrize("piece", [1, 7, 50])
+def test_pieces_of_long_texts(piece, monkeypatch):
+    g = random.Random(piece)
+    texts = ["", " ", "a", "a b", "  a  b  c ", "a" * 300, "a" * 300 + " b"] + [" ".join(g.choice(["ab", "c", "défg", " ", "\n"]) for _ in range(g.randint(1, 60))) for _ in range(60)]
+    whole = [(simhash.fingerprint(t.encode()), sorted(nb_toxic.grams(t.encode()).tolist())) for t in texts]
+    assert [w[0] for w in whole] == [plain.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(nb_toxic, "PIECE", piece)
+    assert [(simhash.fingerprint(t.encode()), sorted(nb_toxic.grams(t.encode()).tolist())) for t in texts] == whole
+
+
+def test_slices():
+    import pyarrow as pa
+
+    from marlstone.llm import common
+
+    texts = ["x" * n for n in (5, 3000, 1, 2, 900, 0, 40_000, 7)]
+    out = list(common.slices(iter([pa.record_batch({"t": texts}), pa.record_batch({"t": pa.array([], pa.string())})]), rows=3, size=2000))
+    assert [t for b in out for t in b.column("t").to_pylist()] == texts
+    assert all(b.num_rows == 1 or (b.num_rows <= 3 and b.nbytes <= 2000) for b in out)
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_links_of_a_dense_cloud(spark, block, monkeypatch):
     """Fingerprints within few bits of a few centres: chains, cells with many members, and blocks of them."""
