@@ -44,8 +44,8 @@ PIECE = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Members of a cell that are compared with each other in one piece.
 BLOCK = 1024
-#: Blocks of coordinates of the grids, and how many of them a cell fixes.
-BLOCKS, FIXED = 6, 3
+#: Blocks of coordinates that a cell of the grids fixes.
+FIXED = 3
 
 
 def fingerprint(body: bytes, width: int = SHINGLE) -> int:
@@ -108,11 +108,14 @@ def embedded(fp: Column) -> Column:
     return fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
 
 
-def grid_masks() -> list[int]:
-    """For each choice of blocks, the bits of their coordinates."""
-    edges = [32 * i // BLOCKS for i in range(BLOCKS + 1)]
+def grid_masks(radius: int = RADIUS) -> list[int]:
+    """For each choice of blocks, the bits of their coordinates. ``radius`` differences leave ``FIXED`` of the blocks alike."""
+    blocks = max(radius, 0) + FIXED
+    if blocks > 32:
+        raise ValueError(f"radius {radius}: at most {32 - FIXED}, as there are 32 coordinates")
+    edges = [32 * i // blocks for i in range(blocks + 1)]
     block = [sum(3 << 2 * c for c in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(BLOCKS), FIXED)]
+    return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), FIXED)]
 
 
 def _forest(fps: np.ndarray, other: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +197,7 @@ def _linked(radius: int):
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between different fingerprints of ``classes`` (fp) that connect all within ``radius``."""
     word = F.col("u")
-    cells = F.explode(F.array(*[F.xxhash64(F.lit(k), word.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks())]))
+    cells = F.explode(F.array(*[F.xxhash64(F.lit(k), word.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks(radius))]))
     placed = classes.select("fp", embedded(F.col("fp")).alias("u")).select("fp", cells.alias("cell"))
     counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     met = placed.join(counted, "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
