@@ -90,15 +90,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, told: bool = False) -> DataFrame:
+    """doc_id, fp (long) of each row; and, if asked for, told: the text's digest."""
+    more = ["told"] if told else []
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fps = [_signed(fingerprint(t.translate(LOWER), width)) for t in raw_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64()), *[b.column(c) for c in more]], ["doc_id", "fp", *more])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(of, "doc_id long, fp long")
+    picked = pick(docs, doc_id=id_col, text=text_col)
+    picked = picked.withColumn("told", F.xxhash64("text")) if told else picked
+    return picked.mapInArrow(of, "doc_id long, fp long" + (", told long" if told else ""))
 
 
 def embedded(fp: Column) -> Column:
@@ -225,12 +228,17 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each component: that with the component's id. An id stands for one document."""
+    """``docs``, all columns, with one document of each component: one with its least id. An id on different texts stands for each."""
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at_id = f"c{names.index(id_col)}"
-    ids = near_dups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*null_safe(F.col("doc_id"))).distinct()
-    # The number of a repeated id needs the rows dealt just as the join does.
-    nth = F.row_number().over(Window.partitionBy("some_id", "no_id").orderBy("no_id"))
-    found = safe.select("*", *null_safe(F.col(at_id))).join(ids, ["some_id", "no_id"]).withColumn("nth", nth).where("nth = 1")
+    at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    told = F.xxhash64(F.col(at_text)).alias("told")
+    rows = settle(fingerprints(docs, id_col, text_col, told=True))
+    roots = components(links(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    one = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "told")).alias("one"))
+    kept = one.select(*null_safe(F.col("one.doc_id")), F.col("one.told").alias("told"))
+    # The number of a repeated row needs the rows dealt just as the join does.
+    nth = F.row_number().over(Window.partitionBy("some_id", "no_id", "told").orderBy("no_id"))
+    found = safe.select("*", *null_safe(F.col(at_id)), told).join(kept, ["some_id", "no_id", "told"]).withColumn("nth", nth).where("nth = 1")
     return found.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
