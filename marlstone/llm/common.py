@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
+import re
 import sys
 import tempfile
 import types
@@ -14,25 +16,38 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Functions of this subpackage travel to executors by value, so that a cluster needs no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 
+def place(df: DataFrame, name: str) -> int:
+    """The position of a column: by exact name first, then without regard to case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        if (at := next((i for i, c in enumerate(df.columns) if same(c)), None)) is not None:
+            return at
+    raise ValueError(f"no column {name!r} among {df.columns}")
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ... so that further columns whose names clash do no harm."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns c0, c1, ... of ``df`` under ``names``."""
+    return df.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """``df`` with only the named columns, as ``alias="column"``.
+    """``df`` with only the named columns, as ``alias="column"``."""
+    return by_place(df).select(*[F.col(f"c{place(df, name)}").alias(alias) for alias, name in columns.items()])
 
-    Columns are matched by exact name first, then without regard to case, and by
-    position, so that further columns whose names clash do no harm.
-    """
-    safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    out = []
-    for alias, name in columns.items():
-        at = next((i for i, c in enumerate(df.columns) if c == name), None)
-        if at is None:
-            at = next(i for i, c in enumerate(df.columns) if c.lower() == name.lower())
-        out.append(F.col(f"c{at}").alias(alias))
-    return safe.select(*out)
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all of a row's columns, nulls among them: an order of rows that is the same whenever they are made again."""
+    return F.xxhash64(*[x for f in df.schema.fields for x in ((F.to_json(F.struct(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)), F.col(f.name).isNull())])
 
 
 def null_safe(key: Column) -> list[Column]:
@@ -41,12 +56,14 @@ def null_safe(key: Column) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a new local one, if the master is local; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         path = tempfile.mkdtemp(prefix="marlstone-shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -89,13 +106,25 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_state(key: object, build: Callable[[], object]) -> object:
-    """An object built once in each Python worker and kept from task to task."""
+def worker_state(slot: str, key: object, build: Callable[[], object]) -> object:
+    """An object built once in each Python worker and kept from task to task; a slot keeps the one of its latest key."""
     module = sys.modules.setdefault("_marlstone_worker_state", types.ModuleType("_marlstone_worker_state"))
     kept = module.__dict__.setdefault("kept", {})
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    if kept.get(slot, (None,))[0] != key:
+        kept.pop(slot, None)
+        kept[slot] = (key, build())
+    return kept[slot][1]
+
+
+class Shared:
+    """A value for executors: pickled with its classes, so that they need no copy of this package; unpickled once in each worker."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.slot, self.key = type(value).__name__, uuid.uuid4().hex
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __call__(self) -> object:
+        return worker_state(self.slot, self.key, lambda: pickle.loads(self.sent.value))
 
 
 #: A-Z to a-z, all else as it is; safe on UTF-8, whose other bytes are 0x80 and up.
