@@ -6,9 +6,8 @@ at short distances, lines) and encoded by one dense layer. Gated attention,
 ``a = softmax(w . (tanh(V h) * sigmoid(U h)))``, weighs the encodings; a logistic unit
 scores their weighted sum. All weights are learnt together from labels of documents by Adam.
 
-Fitting uses at most ``labelled.PER_CLASS`` labelled documents of each class, as measures
-that executors make, and of a document over ``FIT_PASSAGES`` passages that many at even
-distances (fitting only; scoring reads all). Scoring is one pass without a shuffle.
+Fitting uses a bounded sample of labelled rows (``labelled.PER_CLASS`` of each class, ``labelled.FIT_BYTES`` of text), as
+measures that executors make of all passages of each. Scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text is one empty passage; with no labelled sample, or one class
 only, all scores are 0.5; null labels are left out; rows repeat as they are; an
@@ -25,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import pick, raw_texts, slices
+from .common import Shared, pick, raw_texts, slices
 
 PASSAGE = 400
-FIT_PASSAGES = 64
 FOLDS, HELD_OUT = 3, 1
 HIDDEN, GATES = 24, 12
 
@@ -69,22 +67,16 @@ def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     opens = np.flatnonzero(inside & (head | ~np.concatenate(([False], inside[:-1]))))
     closes = np.flatnonzero(inside & (tail | ~np.concatenate((inside[1:], [False])))) + 1
     own = passage[opens] if len(opens) else np.empty(0, np.int64)
-    # A word's first 8 bytes and length stand for it.
-    wide = np.concatenate((b, np.zeros(8, np.uint8)))
-    length = closes - opens
-    word = np.zeros(len(opens), np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | np.where(k < length, wide[opens + k], 0).astype(np.uint64)
-    word = word * np.uint64(0x9E3779B97F4A7C15) + length.astype(np.uint64)
+    word = np.fromiter(map(hash, (w for t in texts for w in t.split())), np.int64, len(opens))  # equal words, equal numbers
     words = np.bincount(own, minlength=n)
     least = np.maximum(words, 1)
-    more = [words / size * 5, np.bincount(own, weights=np.minimum(length, 40), minlength=n) / least / 10]
+    more = [words / size * 5, np.bincount(own, weights=np.log1p(closes - opens), minlength=n) / least]
     for lag in (1, 2, 3):
         same = np.zeros(len(word))
         if len(word) > lag:
             same[lag:] = (word[lag:] == word[:-lag]) & (own[lag:] == own[:-lag])
         more.append(np.bincount(own, weights=same, minlength=n) / least)
-    more.append(np.minimum(size / PASSAGE, 1.0))
+    more.append(size / PASSAGE)
     return np.column_stack([np.sqrt(shares), *more]).astype(np.float32), first
 
 
@@ -153,28 +145,23 @@ def fit(bags: list[np.ndarray], y: np.ndarray, rounds: int = 40, size: int = 64,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = labelled.PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            x, first = measures(raw_texts(b.column("text")))
-            bags = []
-            for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                at = np.unique(np.linspace(s, e - 1, min(e - s, FIT_PASSAGES)).astype(int))
-                bags.append(x[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), b.column("y")], ["bag", "y"])
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = labelled.PER_CLASS, fit_bytes: int = labelled.FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    def of(texts: pa.Array) -> list[bytes]:
+        x, first = measures(raw_texts(texts))
+        return [x[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
-    rows = labelled.sample(docs, labels, label, FOLDS, HELD_OUT, per_class, id_col, text_col).mapInArrow(of, "bag binary, y int").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["bag"])))
-    return fit([np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, MEASURES) for r in rows], np.array([r["y"] for r in rows]))
+    made, y = labelled.measured(labelled.sample(docs, labels, label, FOLDS, HELD_OUT, per_class, fit_bytes, id_col, text_col), of, 64)
+    return fit([np.frombuffer(m, np.float32).reshape(-1, MEASURES) for m in made], np.array(y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(docs.sparkSession, model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sent.value.score(raw_texts(b.column("text"))), pa.float64())], ["doc_id", "score"])
+        m = sent()
+        for b in slices(batches, 256, 2 << 20):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(m.score(raw_texts(b.column("text"))), pa.float64())], ["doc_id", "score"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).mapInArrow(of, "doc_id long, score double")
     return rows.select("doc_id", (labelled.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

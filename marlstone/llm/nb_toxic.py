@@ -1,14 +1,14 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its byte n-grams (3 to 6, A-Z lower-cased, white space as
+A text is the set of its n-grams of 3 to 6 characters (code points; A-Z lower-cased, white space as
 one blank), hashed to 2^20 places. Each place is scaled by
 ``r = ln((p / |p|) / (q / |q|))``, ``p`` and ``q`` the smoothed numbers of toxic and other
 sample texts that have it; a logistic regression with an L1 penalty is fitted on the scaled set by
-accelerated proximal steps. The penalty leaves weight on few places, so that the length
+accelerated proximal steps. All places of the sample take part. The penalty leaves weight on few, so that the length
 of a text, all of which is read, doesn't move its score by itself.
 
-Fitting uses at most ``PER_CLASS`` labelled texts of each class, as sets of
-numbers that executors make. Scoring is one pass without a shuffle.
+Fitting uses a bounded sample of labelled rows: at most ``PER_CLASS`` of each class and ``FIT_BYTES`` of
+text, as sets of numbers that executors make. Scoring is one pass without a shuffle.
 
 Defined cases: a null text is empty; a text without n-grams gets the intercept's score; with no
 labelled sample, or one class only, all scores are 0.1; null labels are left out;
@@ -27,34 +27,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import labelled
-from .common import LOWER, pick, raw_texts, slices
+from .common import LOWER, Shared, by_place, pick, place, raw_texts, renamed, slices
 
 LOW, HIGH, BITS = 3, 6, 20
-#: Bytes of a text that are looked at together.
-PIECE = 1 << 20
+#: Characters of a text that are looked at together.
+PIECE = 1 << 19
 FOLDS, HELD_OUT = 5, 0
-#: Labelled texts of each class that the fit takes at most: their sets are about 50 MB on the driver.
-PER_CLASS = 1000
+#: Labelled rows of each class, and bytes of their texts, that the fit takes at most: sets of 16 bytes for each byte of text at most.
+PER_CLASS, FIT_BYTES = 1000, 8 << 20
 
 
 def grams(raw: bytes) -> np.ndarray:
-    """The places of a text's n-grams, each once. Longer texts go in pieces that overlap by an n-gram less one byte."""
+    """The places of a text's n-grams, each once. Longer texts go in pieces that overlap by an n-gram less one character."""
     body = b" " + b" ".join(raw.translate(LOWER).split()) + b" "
-    pieces = [_grams(body[at : at + PIECE + HIGH - 1]) for at in range(0, max(len(body) - HIGH + 1, 1), PIECE)]
+    codes = np.frombuffer(body, np.uint8) if body.isascii() else np.frombuffer(body.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    pieces = [_grams(codes[at : at + PIECE + HIGH - 1]) for at in range(0, max(len(codes) - HIGH + 1, 1), PIECE)]
     return pieces[0] if len(pieces) == 1 else once(np.concatenate(pieces))
 
 
-def _grams(body: bytes) -> np.ndarray:
-    if len(body) < LOW:
+def _grams(codes: np.ndarray) -> np.ndarray:
+    if len(codes) < LOW:
         return np.empty(0, np.int64)
-    b = np.frombuffer(body, np.uint8).astype(np.uint64)
-    value, out = b, []
+    c = codes.astype(np.uint64) + np.uint64(1)
+    value, out = c, []
     for n in range(2, HIGH + 1):
-        if len(b) < n:
+        if len(c) < n:
             break
-        value = (value[:-1] << np.uint64(8)) | b[n - 1 :]
+        value = value[:-1] * np.uint64(0x100000001B3) + c[n - 1 :]
         if n >= LOW:
-            out.append(((value + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
+            out.append(((value ^ value >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32))
     return once(np.concatenate(out).astype(np.int64))
 
 
@@ -78,72 +79,81 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 5e-4, least: int = 3, rounds: int = 120) -> Model:
-    """A model of n-gram sets, which are used up; classes weigh the same."""
+def ratios(places: np.ndarray, rows: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(r of each place, how many texts have it) of sets given as places and the numbers of their texts."""
+    p, q = (np.bincount(places[y[rows] == label], minlength=1 << BITS) for label in (1, 0))
+    return np.log(((p + alpha) / (y.sum() + 2 * alpha)) / ((q + alpha) / ((1 - y).sum() + 2 * alpha))), p + q
+
+
+def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 5e-4, rounds: int = 120) -> Model:
+    """A model of n-gram sets; classes weigh the same.
+
+    Places that only one text has, and the same one, have equal ratios and equal steps, so that their weights
+    stay equal: they are fitted as one weight with their number.
+    """
     y = np.asarray(y, np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), np.log(0.1 / 0.9))
-    p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for places, label in zip(sets, y, strict=True):
-        (p if label else q)[places] += 1  # each place is in a set once
-    r = np.log(((p + alpha) / (y.sum() + 2 * alpha)) / ((q + alpha) / ((1 - y).sum() + 2 * alpha)))
-    # Places in few texts, or about as common in both classes, can't move the fit.
-    used = np.flatnonzero((p + q >= least) & (np.abs(r) > 0.5))
+    lengths = np.array([len(s) for s in sets])
+    places, rows = np.concatenate(sets).astype(np.int32), np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
+    r, n = ratios(places, rows, y, alpha)
+    alone = n[places] == 1
+    single, mine = places[alone], rows[alone]
+    many = np.bincount(mine, minlength=len(sets)).astype(np.float64)
+    shared = np.flatnonzero(n > 1)
     number = np.full(1 << BITS, -1, np.int32)
-    number[used] = np.arange(len(used), dtype=np.int32)
-    cols = [c[c >= 0] for c in (number[s] for s in sets)]
-    sets.clear()
-    scale = r[used]
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    number[shared] = np.arange(len(shared), dtype=np.int32)
+    cols, rows = number[places[~alone]], rows[~alone]
+    del places
+    starts, some = np.unique(rows, return_index=True)[::-1]
+    # The shared places, then each text's own.
+    scale = np.concatenate([r[shared], np.zeros(len(sets))])
+    scale[len(shared) + mine] = r[single]
+    weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
-    # Row by row: a product over all pairs at once would need several times the sets' memory.
     def times(w: np.ndarray) -> np.ndarray:
         scaled = w * scale
-        return np.array([scaled[c].sum() for c in cols])
+        out = scaled[len(shared) :] * many
+        if len(some):
+            out[some] += np.add.reduceat(scaled[cols], starts)
+        return out
 
     def back(g: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(used))
-        for c, x in zip(cols, g.tolist(), strict=True):
-            out[c] += x
-        return out * scale
+        return np.concatenate([np.bincount(cols, g[rows], len(shared)), g]) * scale
 
-    w, b = np.zeros(len(used)), 0.0
+    w, b = np.zeros(len(scale)), 0.0
+    count = np.concatenate([np.ones(len(shared)), many])
+    norm = lambda v: max(float(np.sqrt((count * v * v).sum())), 1e-12)
     v = back(np.ones(len(y)) / len(y))
     for _ in range(12):  # the largest curvature, by the power method
-        v = back(share * times(v / max(np.linalg.norm(v), 1e-12)))
-    rate = 1 / max(0.25 * np.linalg.norm(v) * 1.5, 1e-9)
+        v = back(weigh * times(v / norm(v)))
+    rate = 1 / max(0.25 * norm(v) * 1.5, 1e-9)
     last, look, t = w, w, 1.0
     for _ in range(rounds):
         z = times(look) + b
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         step = look - rate * back(g)
         w = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
         b -= 2.0 * g.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, last, t = w + (t - 1) / t_next * (w - last), w, t_next
     weights = np.zeros(1 << BITS)
-    weights[used] = w * scale
+    weights[shared] = (w * scale)[: len(shared)]
+    weights[single] = (w * scale)[len(shared) + mine]
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            sets = [grams(t).astype(np.int32).tobytes() for t in raw_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), b.column("y")], ["grams", "y"])
-
-    rows = labelled.sample(docs, labels, label, FOLDS, HELD_OUT, per_class, id_col, text_col).mapInArrow(of, "grams binary, y int").collect()
-    rows.sort(key=lambda r: (r["y"], r["grams"]))  # sums of floats in one order
-    sets, y = [np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["y"] for r in rows])
-    del rows
-    return fit(sets, y)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    rows = labelled.sample(docs, labels, label, FOLDS, HELD_OUT, per_class, fit_bytes, id_col, text_col)
+    made, y = labelled.measured(rows, lambda texts: [np.sort(grams(t)).astype(np.int32).tobytes() for t in raw_texts(texts)])
+    return fit([np.frombuffer(m, np.int32) for m in made], np.array(y))
 
 
 def _scored(df: DataFrame, model: Model, text_at: str, keep: list[str]) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
+    sent = Shared(df.sparkSession, model)  # 4 MB, whatever the input
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent()
         for b in slices(batches):
             scores = [m.score(t) for t in raw_texts(b.column(text_at))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
@@ -159,7 +169,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs``, all columns, without the rows that score ``threshold`` or more."""
-    names = docs.columns
-    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = _scored(safe, model, f"c{names.index(text_col)}", list(safe.columns)).where(F.col("score") < threshold)
-    return rows.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    safe = by_place(docs)
+    rows = _scored(safe, model, f"c{place(docs, text_col)}", list(safe.columns)).where(F.col("score") < threshold)
+    return renamed(rows, docs.columns)
