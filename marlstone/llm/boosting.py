@@ -61,7 +61,7 @@ class Boosted:
 
 
 class Isotonic:
-    """A rising step function of scores, fitted by pooling neighbours that fall."""
+    """A rising step function of scores, fitted by pooling neighbours that fall; a pool's share counts half a case of each label more, so none is 0 or 1."""
 
     def fit(self, z: np.ndarray, y: np.ndarray) -> Isotonic:
         order = np.argsort(z, kind="stable")
@@ -72,7 +72,7 @@ class Isotonic:
                 s, n, top = pools.pop()
                 pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, top]
         self.tops = np.array([p[2] for p in pools])
-        self.values = np.array([p[0] / p[1] for p in pools])
+        self.values = np.maximum.accumulate([(p[0] + 0.5) / (p[1] + 1) for p in pools])
         return self
 
     def __call__(self, z: np.ndarray) -> np.ndarray:

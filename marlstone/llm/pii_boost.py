@@ -4,15 +4,18 @@ Base finders give the spans that are always redacted (addresses of mail and host
 their checksum, telephone numbers with a country code). High-recall generators propose further
 spans, which may overlap: mail addresses spelt out, groups of digits, single runs of
 digits inside longer chains, identity numbers, account numbers. Boosted trees judge each by its
-format and its surroundings; an isotonic fit on samples not used for the trees turns their
-sums into probabilities; each kind has the least threshold that reaches ``PRECISION`` there.
-Of overlapping spans chosen the likelier stays; base spans are never displaced.
+format and its surroundings; a smoothed isotonic fit on samples not used for the trees turns their
+sums into probabilities; each kind has the least threshold at which ``PRECISION`` of ``LEAST`` or more chosen samples
+are personal there. A kind that reaches it at no threshold has none and adds nothing.
+Of overlapping spans chosen the likelier stays. A base span always stays, so what overlaps one isn't asked about.
 
 The trees are fitted on labelled samples: (text, start, end, kind, label). By default these are made
 from formats and carrier phrases by a seeded generator; a caller may give others, a bounded list.
 The model is a few hundred numbers and is broadcast. One pass, no shuffle.
 
-Each finder is linear in the text: none looks twice at a run it has passed.
+Each finder is linear in the text: none looks twice at a run it has passed. Formats that the generators know: a
+telephone number has 7 to 15 digits with at most 9 marks between, a card 13 to 19 digits, an identity number 7 to 11 or
+three groups, an account number 12 to 35 characters; mail addresses have no bound. Overlaps are found by bisection.
 
 Defined cases: a null text is empty; offsets count code points, end exclusive; rows repeat as they
 are; an empty table gives an empty result; further columns are ignored by ``find`` and
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,22 +35,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic
-from .common import pick, slices
+from .common import Shared, by_place, pick, place, renamed, slices
 
 KINDS = ("email", "ip", "card", "phone", "id", "iban")
-PRECISION = 0.95
-SAMPLES = 6000
+PRECISION, LEAST = 0.95, 20
+SAMPLES = 8000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]")
+_ANY, _DIGIT = re.compile(r"[0-9@]"), re.compile(r"[0-9]")
 
-#: Proposals beyond the base: (kind, pattern).
+#: Mail addresses spelt out: the mark, and what follows it.
+_AT = re.compile(r" ?[\[(] ?at ?[\])] ?", re.I)
+_SPELT = re.compile(r"[A-Za-z0-9-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]+)+", re.I)
+#: Further proposals: (kind, pattern).
 _PROPOSE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,8}", re.I)),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.,-])(?:00|0|\()[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.,-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")),
@@ -94,14 +100,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    over, m = 0, _AT.search(text)
+    while m:
+        s = m.start()
+        while s > over and text[s - 1] in _LOCAL:
+            s -= 1
+        if s < m.start() and (d := _SPELT.match(text, m.end())):
+            yield s, d.end()
+        over = m.end()
+        m = _AT.search(text, over)
+
+
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of what the generators propose; spans may overlap."""
-    if not _ANY.search(text) and "[at]" not in (low := text.lower()) and "(at)" not in low and "[ at ]" not in low and "( at )" not in low:
-        return []
-    found = {(m.start(), KINDS.index(kind), m.end()) for kind, pattern in _PROPOSE for m in pattern.finditer(text)}
+    found = {(s, 0, e) for s, e in _spelt(text)} if "(" in text or "[" in text else set()
+    if _DIGIT.search(text):
+        found |= {(m.start(), KINDS.index(kind), m.end()) for kind, pattern in _PROPOSE for m in pattern.finditer(text)}
     return sorted(found)
 
 
+def apart(found: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``found`` that no span of ``others`` overlaps."""
+    starts, ends = [], []
+    for s, _, e in sorted(others):  # as spans that are apart
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return [c for c in found if bisect_left(starts, c[2]) == bisect_right(ends, c[0])]
+
+
 def _side(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c.isalnum() or c == "_" else 2 if c in "$€£#" else 3 if c in ".,:;!?" else 4
 
@@ -189,7 +219,7 @@ def made_samples(n: int = SAMPLES, seed: int = 20) -> list[tuple[str, int, int,
 
 
 class Model:
-    """Trees, calibration and a threshold for each kind."""
+    """Trees, calibration and a threshold for each kind that has one."""
 
     def __init__(self, samples: list[tuple[str, int, int, int, int]] | None = None, precision: float = PRECISION):
         samples = made_samples() if samples is None else samples
@@ -200,39 +230,42 @@ class Model:
         self.trees = Boosted().fit(x[fitted], y[fitted])
         z = self.trees.raw(x[~fitted])
         self.calibrated = Isotonic().fit(z, y[~fitted])
-        p = self.calibrated(z)
-        self.thresholds = np.ones(len(KINDS))
-        for k in range(len(KINDS)):
-            mine = kinds[~fitted] == k
-            for t in np.unique(p[mine])[::-1].tolist():
-                if t < 0.5 or y[~fitted][mine & (p >= t)].mean() < precision:
-                    break
-                self.thresholds[k] = t
+        self.thresholds = thresholds(self.calibrated(z), y[~fitted], kinds[~fitted], precision)
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, added spans), each (start, number of the kind, end)."""
-        base = base_spans(text)
-        new = [c for c in proposals(text) if not any(s < c[2] and c[0] < e for s, _, e in base)] if len(base) < 50 else self._apart(proposals(text), base)
-        if not new:
-            return base, []
-        p = self.calibrated(self.trees.raw(np.array([features(text, *c) for c in new])))
-        chosen = [(-v, c) for v, c in zip(p.tolist(), new, strict=True) if v >= self.thresholds[c[1]]]
-        kept: list[tuple[int, int, int]] = []
-        taken: list[tuple[int, int]] = []
-        for _, c in sorted(chosen):
-            if not any(s < c[2] and c[0] < e for s, e in taken[-200:]) and (len(taken) <= 200 or not any(s < c[2] and c[0] < e for s, e in taken)):
-                taken.append((c[0], c[2]))
-                kept.append(c)
-        return base, sorted(kept)
-
-    @staticmethod
-    def _apart(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        covered = np.zeros(max([e for *_, e in [*found, *base]]) + 1, np.int32)
-        for s, _, e in base:
-            covered[s] += 1
-            covered[e] -= 1
-        total = np.concatenate(([0], np.cumsum(np.cumsum(covered) > 0)))
-        return [c for c in found if total[c[2]] == total[c[0]]]
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+        """``spans`` of each text; the trees judge the candidates of all together."""
+        base = [base_spans(t) for t in texts]
+        new = [apart(proposals(t), b) for t, b in zip(texts, base, strict=True)]
+        rows = [features(t, *c) for t, cs in zip(texts, new, strict=True) for c in cs]
+        if not rows:
+            return [(b, []) for b in base]
+        p, at, out = self.calibrated(self.trees.raw(np.array(rows))).tolist(), 0, []
+        for b, cs in zip(base, new, strict=True):
+            chosen = sorted((-v, c) for v, c in zip(p[at : at + len(cs)], cs, strict=True) if v >= self.thresholds[c[1]])
+            at += len(cs)
+            kept: list[tuple[int, int, int]] = []
+            for _, c in chosen:
+                k = bisect_left(kept, c)
+                if not (k and kept[k - 1][2] > c[0]) and not (k < len(kept) and kept[k][0] < c[2]):
+                    kept.insert(k, c)
+            out.append((b, kept))
+        return out
+
+
+def thresholds(p: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float, least: int = LEAST) -> np.ndarray:
+    """For each kind the least probability, 1/2 or more, at which that share of the chosen, ``least`` or more of them, is personal; infinite if there is none."""
+    out = np.full(len(KINDS), np.inf)
+    for k in range(len(KINDS)):
+        for t in np.unique(p[(kinds == k) & (p >= 0.5)]).tolist():
+            chosen = y[(kinds == k) & (p >= t)]
+            if len(chosen) >= least and chosen.mean() >= precision:
+                out[k] = t
+                break
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -241,13 +274,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or Model())
+    sent = Shared(docs.sparkSession, model or Model())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent()
         for b in slices(batches):
             rows = []
-            for t in b.column("text").to_pylist():
-                base, added = sent.value.spans(t or "")
+            for base, added in m.spans_of([t or "" for t in b.column("text").to_pylist()]):
                 n = [sum(k == kind for _, k, _ in base) for kind in range(4)]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted([*base, *added])), len(added)))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
@@ -259,25 +292,25 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with each span of a text replaced by its kind in brackets; of spans that overlap, the first's."""
-    names = docs.columns
-    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = f"c{names.index(text_col)}"
-    sent = docs.sparkSession.sparkContext.broadcast(model or Model())
+    safe = by_place(docs)
+    at = f"c{place(docs, text_col)}"
+    sent = Shared(docs.sparkSession, model or Model())
 
-    def one(text: str | None) -> str | None:
+    def one(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
         if not text:
             return text
-        base, added = sent.value.spans(text)
         out, upto = [], 0
-        for s, k, e in sorted([*base, *added]):
+        for s, k, e in spans:
             if s >= upto:
                 out += [text[upto:s], f"[{KINDS[k].upper()}]"]
             upto = max(upto, e)
         return "".join([*out, text[upto:]])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent()
         for b in slices(batches):
-            i = b.schema.get_field_index(at)
-            yield b.set_column(i, b.schema.field(i), pa.array([one(t) for t in b.column(at).to_pylist()], b.schema.field(i).type))
+            i, texts = b.schema.get_field_index(at), b.column(at).to_pylist()
+            made = [one(t, sorted([*base, *added])) for t, (base, added) in zip(texts, m.spans_of([t or "" for t in texts]), strict=True)]
+            yield b.set_column(i, b.schema.field(i), pa.array(made, b.schema.field(i).type))
 
-    return safe.mapInArrow(of, safe.schema).select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return renamed(safe.mapInArrow(of, safe.schema), docs.columns)
