@@ -8,9 +8,9 @@ while the prefix sum of their sizes, less half of the document's own, is within
 the last document is in if that leaves the sum nearer the target.
 
 The prefix sum is made in two steps, so that no task sorts a whole source: keys
-are cut into ``B`` ranges; sizes are summed by (source, range) before any shuffle; the
+are cut into ranges of their logarithm, of which none has more than 3 / ``B`` of a source, whatever the scale of its weights; sizes are summed by (source, range) before any shuffle; the
 running sum over the ranges of a source is the start of each range, and rows are sorted only
-within a range. A source of any share of the rows is spread over B groups.
+within a range. A source of any share of the rows is spread over some B groups.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a
 null id draws as the empty string; rows that repeat draw the same key and count each; an
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = settle(d.select("doc_id", "source", "size", (-F.log(u) / F.col("w")).alias("key")))
 
     n = min(65_536, max(256, 16 * parts(docs.sparkSession)))
-    rows = rows.withColumn("range", F.floor((1.0 - F.exp(F.col("key") * -0.8)) * n))
+    # x exp(-x), the density of an exponential draw over its logarithm, is 0.37 at most.
+    rows = rows.withColumn("range", F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * (n / 8)))
     aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     same = F.col("l.source").eqNullSafe(F.col("r.source"))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
