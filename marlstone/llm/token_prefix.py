@@ -31,8 +31,8 @@ from .common import pick, slices, worker_state
 
 MODEL_BYTES = 16 << 20
 LIMIT = 4096
-#: Segments whose counts a worker keeps; then it starts anew.
-KEPT = 600_000
+#: Bytes of segments whose counts a worker keeps, a fixed cost for each among them; then it starts anew. Longer ones than ``LONG`` aren't kept.
+KEPT, EACH = 96 << 20, 160
 #: Longer segments go through the programme one at a time.
 LONG = 96
 BLANK = "▁"
@@ -108,6 +108,7 @@ class PrefixCounter:
         self.trie.put(np.array(list(known), np.uint64).view(np.int64), np.array(list(known.values()), np.int32))
         self.pairs = Table(21)
         self.kept: dict[str, int] = {}
+        self.kept_bytes = 0
 
     @staticmethod
     def _roll(h: int, c: int) -> int:
@@ -205,8 +206,8 @@ class PrefixCounter:
     def ends(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """For each text its segments and the counts at their ends."""
         cut = [self.segments(t) for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
+        if self.kept_bytes > KEPT:
+            self.kept, self.kept_bytes = {}, 0
         kept = self.kept
         new = [s for s in {s for segments in cut for s in segments} if s not in kept]
         short = sorted((s for s in new if len(s) <= LONG), key=len)
@@ -214,10 +215,10 @@ class PrefixCounter:
             some = short[at : at + 50_000]
             count, base = self._programme(some)
             kept.update(zip(some, count[base[1:] - 1].tolist(), strict=True))
-        for s in new:
-            if len(s) > LONG:
-                kept[s] = self.inside(s)[-1]
-        return [(segments, np.cumsum(np.fromiter(map(kept.__getitem__, segments), np.int64, len(segments)))) for segments in cut]
+            self.kept_bytes += sum(map(len, some)) + EACH * len(some)
+        long = {s: self.inside(s)[-1] for s in new if len(s) > LONG}
+        of = lambda s: kept[s] if len(s) <= LONG else long[s]
+        return [(segments, np.cumsum(np.fromiter(map(of, segments) if long else map(kept.__getitem__, segments), np.int64, len(segments)))) for segments in cut]
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """The number of tokens of ``text[:i]`` for each i from 0 to its length."""
@@ -253,7 +254,7 @@ def counts(docs: DataFrame, model_path: str, limit: int = LIMIT, id_col: str = "
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        counter = worker_state(("token_prefix", hash(model)), lambda: PrefixCounter(model))
+        counter = worker_state("token_prefix", hash(model), lambda: PrefixCounter(model))
         for b in slices(batches, 512):
             texts = [t or "" for t in b.column("text").to_pylist()]
             rows = []
@@ -274,7 +275,7 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        counter = worker_state(("token_prefix", hash(model)), lambda: PrefixCounter(model))
+        counter = worker_state("token_prefix", hash(model), lambda: PrefixCounter(model))
         for b in slices(batches, 64):
             tokens = [counter.prefix_counts(t or "").astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "tokens"])
