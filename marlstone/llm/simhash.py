@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, null_safe, parts, pick, raw_texts, settle, slices
+from .common import LOWER, by_place, null_safe, parts, pick, place, raw_texts, renamed, row_digest, settle, slices
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -229,9 +229,8 @@ def hex_of(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one document of each component: one with its least id. An id on different texts stands for each."""
-    names = docs.columns
-    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    safe = by_place(docs)
+    at_id, at_text = f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
     told = F.xxhash64(F.col(at_text)).alias("told")
     rows = settle(fingerprints(docs, id_col, text_col, told=True))
     roots = components(links(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
@@ -239,6 +238,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "told")).alias("one"))
     kept = one.select(*null_safe(F.col("one.doc_id")), F.col("one.told").alias("told"))
     # The number of a repeated row needs the rows dealt just as the join does.
-    nth = F.row_number().over(Window.partitionBy("some_id", "no_id", "told").orderBy("no_id"))
+    nth = F.row_number().over(Window.partitionBy("some_id", "no_id", "told").orderBy(row_digest(safe)))
     found = safe.select("*", *null_safe(F.col(at_id)), told).join(kept, ["some_id", "no_id", "told"]).withColumn("nth", nth).where("nth = 1")
-    return found.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return renamed(found, docs.columns)
