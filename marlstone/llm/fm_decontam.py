@@ -11,9 +11,10 @@ removal spans for each document.
 A phrase is a window of ``WINDOW`` consecutive words of an item, or a shorter item as a whole.
 A document longer than a shard is indexed in pieces that overlap by ``WINDOW - 1`` words.
 
-The benchmark is the stated query set. It is read to the driver in blocks of at most
-``BLOCK_BYTES`` of text (its size is summed first); each block is broadcast and searched by a step of its
-own over all documents, and steps join their spans. No shuffle; a lost executor's
+The benchmark is the stated query set. It is read to the driver in passes of at most ``PASS_BYTES`` of text, one at
+a time (their sizes are summed first). What is broadcast for a pass is its vocabulary, its words as numbers, and where its windows begin, about
+its text in size; windows aren't written out. A shard is indexed once in a pass and searched for ``SEARCH`` windows at a time; each
+pass is a step of its own over all documents, and steps join their spans. No shuffle; a lost executor's
 tasks are run anew.
 
 Defined cases: a null text has no words; a null item text has no phrases; an item whose id is null
@@ -34,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pick, raw_texts, slices
+from .common import Shared, by_place, pick, place, raw_texts, renamed, slices
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SAMPLE = 8
-BLOCK_BYTES = 32 << 20
+PASS_BYTES = 16 << 20
+#: Windows that are searched together.
+SEARCH = 1 << 18
 
 #: A-Z to a-z; digits, letters and all bytes from 0x80 stay; the rest parts words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,20 +55,58 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items: vocabulary, windows by length, and the items of each window."""
+    """The windows of a pass of items: vocabulary, the items' words as numbers, where different windows begin, and the items that have each."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
+        self.ids = sorted({i for i, _ in items if i is not None})
+        known = {i: k for k, i in enumerate(self.ids)}
+        words, lengths, owners = [], [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in found:
-            by_length.setdefault(len(w), []).append(w)
-        self.sets = [(n, np.array(ws, np.int32), [sorted(i for i in found[w] if i is not None) for w in ws]) for n, ws in sorted(by_length.items())]
+            ws = words_of((text or "").encode())
+            if ws:
+                words.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws), np.int32, len(ws)))
+                lengths.append(len(ws))
+                owners.append(known.get(item, -1))
+        self.words = np.concatenate(words) if words else np.empty(0, np.int32)
+        n = np.array(lengths, np.int64)
+        first, own = np.cumsum(n) - n, np.array(owners, np.int32)
+        #: For each length: where its windows begin, and for each window the range of ``items`` that names the items with it.
+        self.sets: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.items, at = [], 0
+        for length in np.unique(np.minimum(n, window)).tolist():
+            mine = np.flatnonzero(n == length if length < window else n >= window)
+            many = n[mine] - length + 1
+            starts = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            whose = np.repeat(own[mine], many)
+            key = np.zeros(len(starts), np.uint64)
+            for k in range(length):
+                key = key * np.uint64(0x100000001B3) + self.words[starts + k].astype(np.uint64)
+            order = np.lexsort((whose, key))
+            starts, whose, key = starts[order], whose[order], key[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            for k in range(length):  # keys may collide
+                new[1:] |= self.words[starts[1:] + k] != self.words[starts[:-1] + k]
+            group = np.cumsum(new) - 1
+            told = (whose >= 0) & np.concatenate(([True], (group[1:] != group[:-1]) | (whose[1:] != whose[:-1])))
+            ends = np.cumsum(np.bincount(group[told], minlength=int(new.sum())))
+            self.sets.append((length, starts[new], np.concatenate(([0], ends)) + at))
+            self.items.append(whose[told])
+            at += int(told.sum())
+        self.items = np.concatenate(self.items) if self.items else np.empty(0, np.int32)
+
+    def windows(self, number: int, upto: int = SEARCH) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first, windows, one a row) of a set, so many at a time."""
+        length, starts, _ = self.sets[number]
+        for at in range(0, len(starts), upto):
+            yield at, self.words[starts[at : at + upto, None] + np.arange(length)]
+
+    def items_of(self, number: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``windows``, numbers of items): the items of each window."""
+        bounds = self.sets[number][2]
+        n = bounds[windows + 1] - bounds[windows]
+        return np.repeat(np.arange(len(windows)), n), self.items[np.repeat(bounds[windows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 class FMIndex:
@@ -176,12 +218,13 @@ def search_shard(pieces: list[tuple[int, np.ndarray]], phrases: Phrases) -> list
         return []
     index = FMIndex(text, len(phrases.vocabulary))
     out = []
-    for number, (length, windows, _) in enumerate(phrases.sets):
-        which, low, high = index.search(windows)
-        if len(which):
-            counts = high - low
-            rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-            out.append((number, length, np.repeat(which, counts), places[index.locate(rows)]))
+    for number, (length, _, _) in enumerate(phrases.sets):
+        for first, windows in phrases.windows(number):
+            which, low, high = index.search(windows)
+            if len(which):
+                counts = high - low
+                rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+                out.append((number, length, np.repeat(which + first, counts), places[index.locate(rows)]))
     return out
 
 
@@ -211,9 +254,11 @@ def spans_of(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple
             np.add.at(change, at, 1)
             np.add.at(change, at + length, -1)
             docs = np.searchsorted(starts, at, side="right") - 1
-            for pair in np.unique(docs * len(phrases.sets[number][1]) + which).tolist():
-                doc, w = divmod(pair, len(phrases.sets[number][1]))
-                items[doc].update(phrases.sets[number][2][w])
+            many = len(phrases.sets[number][1])
+            docs, which = np.divmod(np.unique(docs * many + which), many)
+            at, own = phrases.items_of(number, which)
+            for pair in np.unique(docs[at] * len(phrases.ids) + own).tolist() if len(phrases.ids) else []:
+                items[pair // len(phrases.ids)].add(phrases.ids[pair % len(phrases.ids)])
     hit = np.cumsum(change) > 0
     out = []
     if not hit.any():
@@ -240,15 +285,17 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
-def _annotate(df: DataFrame, text_at: str, phrases, keep: list[str], more: bool) -> DataFrame:
-    """``df``'s columns ``keep``, with what ``_FOUND`` names; ``more``: it has them from an earlier block already."""
+def _annotate(df: DataFrame, text_at: str, phrases: Shared, keep: list[str], more: bool, item: T.DataType) -> DataFrame:
+    """``df``'s columns ``keep``, with n_words, spans and items; ``more``: it has them from an earlier pass already."""
+    found_fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(item))]
+    found_names = [f.name for f in found_fields]
+    item_kind = to_arrow_type(item)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = phrases.value
-        kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
+        known = phrases()
+        kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(item_kind)]
 
         def out(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = spans_of([t for b in group for t in raw_texts(b.column(text_at))], known)
@@ -260,7 +307,7 @@ def _annotate(df: DataFrame, text_at: str, phrases, keep: list[str], more: bool)
                     old = zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)
                     mine = [(n, merged(s, [(x["start"], x["end"]) for x in was]), sorted({*i, *ids})) for (n, s, i), (was, ids) in zip(mine, old, strict=True)]
                 values = [[n for n, _, _ in mine], [[{"start": a, "end": z} for a, z in s] for _, s, _ in mine], [i for _, _, i in mine]]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], [*keep, *_FOUND.names])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], [*keep, *found_names])
 
         group: list[pa.RecordBatch] = []
         held = 0
@@ -273,29 +320,30 @@ def _annotate(df: DataFrame, text_at: str, phrases, keep: list[str], more: bool)
         if group:
             yield from out(group)
 
-    schema = T.StructType([*[df.schema[c] for c in keep], *_FOUND.fields])
+    schema = T.StructType([*[df.schema[c] for c in keep], *found_fields])
     return df.mapInArrow(of, schema)
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The phrases of the benchmark (item_id, text), in blocks of about ``block_bytes`` of text."""
+def passes(benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> Iterator[Phrases]:
+    """The phrases of the benchmark (item_id, text), in passes of about ``pass_bytes`` of text, one at a time."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // block_bytes) + 1
+    n = int(total // pass_bytes) + 1
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Phrases([tuple(r) for r in benchmark.where(number == k).select("item_id", "text").collect()], window) for k in range(n)]
+    for k in range(n):
+        yield Phrases([tuple(r) for r in benchmark.where(number == k).select("item_id", "text").collect()], window)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_at: str, keep: list[str], item_col: str, item_text: str, window: int) -> DataFrame:
-    spark = docs.sparkSession
-    found = blocks(pick(benchmark, item_id=item_col, text=item_text), window)
-    for k, phrases in enumerate(found):
-        columns = keep if k == len(found) - 1 else [*keep, *({text_at} - {*keep})]
-        docs = _annotate(docs, text_at, spark.sparkContext.broadcast(phrases), columns, k > 0)
-    return docs
+    """Each pass keeps the text for the next; the last leaves it out unless it is asked for."""
+    items = pick(benchmark, item_id=item_col, text=item_text)
+    kind, columns = items.schema["item_id"].dataType, [*keep, *({text_at} - {*keep})]
+    for k, phrases in enumerate(passes(items, window)):
+        docs = _annotate(docs, text_at, Shared(docs.sparkSession, phrases), columns, k > 0, kind)
+    return docs.select(*keep, "n_words", "spans", "items")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, spans (of words, end exclusive), items (long ids, rising)."""
+    """One row for each row of ``docs``: doc_id, n_words, spans (of words, end exclusive), items (ids, rising)."""
     return _found(pick(docs, doc_id=id_col, text=text_col), benchmark, "text", ["doc_id"], item_col, item_text, window)
 
 
@@ -314,12 +362,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "drop", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "drop", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs``, all columns, without contamination: ``drop`` leaves out documents with a hit, ``cut`` cuts the spans from their texts."""
-    names = docs.columns
-    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text_at = f"c{names.index(text_col)}"
-    found = _found(safe, benchmark, text_at, list(safe.columns), "item_id", "text", window)
+    safe = by_place(docs)
+    text_at = f"c{place(docs, text_col)}"
+    found = _found(safe, benchmark, text_at, list(safe.columns), item_col, item_text, window)
     if mode == "drop":
         found = found.where(F.size("spans") == 0)
     else:
@@ -331,4 +378,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield b.set_column(b.schema.get_field_index(text_at), text_at, pa.array(texts, b.schema.field(text_at).type))
 
         found = found.mapInArrow(of, schema)
-    return found.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return renamed(found, docs.columns)
