@@ -1,18 +1,22 @@
 """Licences by sparse TF-IDF cosine to templates, and inheritance from the nearest directory above.
 
-1. A text is cut into lines; those with a mark of licensing are its units, wherever they stand.
-   A unit is the counts of its lower-cased terms.
-2. Terms of the templates are weighed by their rarity over all units of the corpus, the templates among
-   them: ``ln((1 + N) / (1 + df)) + 1``. A term of no template counts in a unit's length with weight 1, so that
-   a licence's name inside other prose scores lower than a notice.
-3. A unit's cosine with each template comes from a join on shared terms, summed by (unit, template). The best unit
-   gives the file its licence if its cosine is ``LEAST`` or more.
-4. A licence file is a file of at least ``FILE_SHARE`` terms within units. The licence files of a directory give
-   the directory its licence (the best cosine; ties by name). Each directory, once, is joined to
+1. A file's units are its whole text, its blocks (runs of lines without a blank one), its runs of comment lines,
+   and its lines, so that a notice is met as it stands: alone, wrapped in a header, or as a licence's full text. A unit is
+   the counts of its lower-cased terms.
+2. A term's weight is ``(1 + ln tf) * idf``, ``idf = ln((1 + N) / (1 + df)) + 1`` over all files of the corpus, the templates
+   among them. A term of no template counts in a unit's length with weight 1, so that a licence's name inside other
+   prose scores lower than a notice.
+3. A unit's cosine with each template comes from a join on shared terms, summed by (unit, template). A file's licence is
+   that of its best unit with ``LEAST`` or more; ``Proprietary`` counts only where no other licence has that.
+   Units that can't reach ``LEAST`` are left out by an exact bound: of each template, the terms of least weight
+   whose norm together is under ``LEAST`` of the whole; a unit with none of the other terms has a lower cosine.
+4. A licence file is a file with a licence that is named like one (``LICENSE``, ``COPYING``), or whose whole text has ``FILE_LEAST``
+   or more with its licence, or that begins with the licence's title and has half its terms or more from templates. The licence files
+   of a directory give the directory its licence (the best cosine; ties by name). Each directory, once, is joined to
    its ancestors by path, and takes the deepest that has one; files without a notice of their own
    take their directory's.
 
-The templates are a fixed list, and their terms are broadcast. Terms are folded within a unit
+The templates are a fixed list, or the caller's, and their terms are broadcast. Terms are folded within a unit
 before any shuffle; joins by directory have one row for each directory on one side. No Python runs on
 executors.
 
@@ -30,110 +34,162 @@ from pyspark.sql import functions as F
 
 from .common import pick, settle
 
-LEAST = 0.5
-FILE_SHARE = 0.5
+LEAST, FILE_LEAST, TITLE_LEAST, SHARE = 0.5, 0.7, 0.85, 0.5
 #: Decimal places of a cosine, so that the order of a sum doesn't show.
 PLACES = 6
-
-#: Notices of well-known licences, as their authors word them.
-TEMPLATES = {
-    "AGPL-3.0": ["GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["This work is licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-NC-4.0": ["This work is licensed under CC BY-NC 4.0.", "Available under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-SA-4.0": ["This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights, CC0 1.0 Universal public domain dedication", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-2.0": ["Licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "GPL-3.0": ["Licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "SPDX-License-Identifier: GPL-3.0"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "LGPL-3.0": ["GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License", "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "Proprietary": ["All rights reserved.", "All rights reserved. No part may be reproduced without permission.", "Copyright. All rights reserved. Proprietary and confidential."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+LAST = "Proprietary"
+
+
+def _gnu(name: str, version: str, mark: str = ",") -> str:
+    """The notice that programs and libraries under a GNU licence carry, without either word."""
+    return (
+        f"This is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version. "
+        f"This is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this."
+    )
+
+
+def _gnu_short(name: str, version: str) -> str:
+    return f"under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version"
+
+
+#: Notices and texts of well-known licences, as their authors word them.
+_AS_IS = 'IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. '
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. ' + _AS_IS
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. '
+_MIT_END = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_END = ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_CC0 = "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"
+
+#: Notices and full texts, and, after them, titles.
+TEMPLATES: dict[str, tuple[list[str], list[str]]] = {
+    "AGPL-3.0": ([_gnu("GNU Affero General Public License", "3"), _gnu_short("GNU Affero General Public License", "3"), "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"], ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"]),
+    "Apache-2.0": ([_APACHE + _APACHE_END, _APACHE, "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"], ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License, Version 2.0"]),
+    "BSD-2-Clause": ([_BSD + _BSD_END, "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"], ["BSD 2-Clause License"]),
+    "BSD-3-Clause": ([_BSD + _BSD_NAME + _BSD_END, _BSD_NAME, "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"], ["BSD 3-Clause License"]),
+    "CC-BY-4.0": (["This work is licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"], ["Creative Commons Attribution 4.0 International"]),
+    "CC-BY-NC-4.0": (["This work is licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"], ["Creative Commons Attribution-NonCommercial 4.0 International"]),
+    "CC-BY-SA-4.0": (["This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"], ["Creative Commons Attribution-ShareAlike 4.0 International"]),
+    "CC0-1.0": ([_CC0, "Dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"], ["CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"]),
+    "GPL-2.0": ([_gnu("GNU General Public License", "2", ";"), _gnu_short("GNU General Public License", "2"), "Licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"], ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"]),
+    "GPL-3.0": ([_gnu("GNU General Public License", "3"), _gnu_short("GNU General Public License", "3"), "Licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"], ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"]),
+    "ISC": ([_ISC + _ISC_END, "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"], ["ISC License"]),
+    "LGPL-2.1": ([_gnu("GNU Lesser General Public License", "2.1", ";"), _gnu_short("GNU Lesser General Public License", "2.1"), "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1"], ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"]),
+    "LGPL-3.0": ([_gnu("GNU Lesser General Public License", "3"), _gnu_short("GNU Lesser General Public License", "3"), "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"], ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"]),
+    "MIT": ([_MIT + _MIT_END, _MIT, "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"], ["MIT License", "The MIT License (MIT)"]),
+    "MPL-2.0": ([_MPL, "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"], ["Mozilla Public License Version 2.0"]),
+    LAST: (["All rights reserved.", "All rights reserved. No part may be reproduced without permission.", "Copyright. All rights reserved. Proprietary and confidential."], []),
+    "Unlicense": ([_UNLICENSE, "SPDX-License-Identifier: Unlicense"], ["The Unlicense"]),
 }
 
-#: A line with one of these is a unit.
-MARK = r"(?i)licen[cs]e|copyright|spdx-|all rights reserved|public domain|permission (?:is|to)|creative commons|\bcc by\b|redistribution and use"
 TERM = r"[a-z0-9]+(?:[.-][0-9]+)*"
+BLANK_LINE = r"\n[ \t\r]*\n"
+COMMENTS = r"(?:(?:^|\n)[ \t]*(?://|/\*|\*|#|--|;|%|<!--)[^\n]*)+"
+#: The name of a licence file, lower-cased.
+NAMED = r"(?:^|/)(?:licen[cs]e|copying|unlicense|copyright)(?:[.-][^/]*)?$"
+
+Templates = dict[str, tuple[list[str], list[str]]]
 
 
-def template_terms() -> list[tuple[str, int, str, int]]:
-    """(licence, number of its text, term, count)."""
+def template_terms(templates: Templates | None = None) -> list[tuple[str, str, bool, str, int]]:
+    """(template, licence, whether a title, term, count)."""
     out = []
-    for name, texts in TEMPLATES.items():
-        for k, text in enumerate(texts):
+    for name, (texts, titles) in (templates or TEMPLATES).items():
+        for k, text in enumerate([*texts, *titles]):
             terms = re.findall(TERM, text.lower())
-            out += [(name, k, t, terms.count(t)) for t in sorted(set(terms))]
+            out += [(f"{name}/{k}", name, k >= len(texts), t, terms.count(t)) for t in sorted(set(terms))]
     return out
 
 
+def needed(weights: dict[str, dict[str, float]], least: float = LEAST) -> list[str]:
+    """Terms of which every unit with a cosine of ``least`` or more has one: of each template all but its lightest terms whose norm is less than that share."""
+    out: set[str] = set()
+    for terms in weights.values():
+        total, rest = sum(w * w for w in terms.values()), 0.0
+        for t, w in sorted(terms.items(), key=lambda x: (x[1], x[0])):
+            rest += w * w
+            if rest >= (least - 1e-5) ** 2 * total:
+                out.add(t)
+    return sorted(out)
+
+
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def units(files: DataFrame) -> DataFrame:
-    """file rows -> rid, file_terms, and the units' terms; rid is the caller's number of a row."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(MARK))
-    some = files.where(F.col("text").rlike(MARK))
-    return some.select("rid", F.posexplode(lines).alias("unit", "line")).select("rid", "unit", _terms(F.col("line")).alias("terms"))
+def units(text: Column) -> Column:
+    """The whole text, its first block, its further blocks, its runs of comments, its lines."""
+    some = lambda x: F.filter(x, lambda u: u.rlike(r"\S"))
+    return F.concat(F.array(text), some(F.split(text, BLANK_LINE, -1)), F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)), some(F.split(text, "\n", -1)))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(f"{name}/{k}", name, term, n) for name, k, term, n in template_terms()]
-    return spark.createDataFrame(rows, "template string, license string, term string, tf int")
+def own(files: DataFrame, templates: Templates | None = None) -> DataFrame:
+    """(rid, text) -> (rid, license, cosine, like_file): the best notice of each file that has one of ``LEAST`` or more; and whether the file is like a licence file.
 
-
-def own(files: DataFrame) -> DataFrame:
-    """(rid, text) -> (rid, license, cosine, unit_terms): the best notice of each file that has one of ``LEAST`` or more; and how many terms its units have."""
+    Rows of one rid are equal and give one row.
+    """
     spark = files.sparkSession
-    known = sorted({t for *_, t, _ in template_terms()})
-    u = settle(units(files))
-    # A row for each (unit, term), with the number of times; terms of no template become one number.
-    vocabulary = F.broadcast(spark.createDataFrame([(t,) for t in known], "term string"))
-    each = u.select("rid", "unit", F.explode("terms").alias("term")).groupBy("rid", "unit", "term").agg(F.count("*").alias("tf"))
-    hits = settle(each.join(vocabulary, "term"))
-    lengths = u.select("rid", "unit", F.size("terms").alias("n"))
-    templates = _templates(spark)
-    n_units = u.count() + sum(len(v) for v in TEMPLATES.values())
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).unionByName(templates.groupBy("term").agg(F.countDistinct("template").alias("df")))
-    # As many rows as the templates have terms.
-    idf = {r["term"]: log((1 + n_units) / (1 + r["df"])) + 1 for r in df.groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    by_template: dict[str, list[tuple[str, float]]] = {}
-    for name, k, term, n in template_terms():
-        by_template.setdefault(f"{name}/{k}", []).append((term, n * idf[term]))
-    weights = [(name, name.rpartition("/")[0], term, w / sum(x * x for _, x in ws) ** 0.5, idf[term]) for name, ws in by_template.items() for term, w in ws]
-    weighed = F.broadcast(spark.createDataFrame(weights, "template string, license string, term string, share double, idf double"))
+    listed = template_terms(templates)
+    vocabulary = F.broadcast(spark.createDataFrame([(t,) for t in sorted({t for *_, t, _ in listed})], "term string"))
+    # As many rows as the templates have terms, and one with the number of files.
+    counted = files.select(F.explode(F.concat(F.array_distinct(_terms(F.col("text"))), F.array(F.lit("")))).alias("term")).join(vocabulary.unionByName(spark.createDataFrame([("",)], "term string")), "term")
+    df = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    n_all = df.get("", 0) + len({t for t, *_ in listed})
+    idf = {}
+    for *_, t, _ in listed:
+        idf[t] = log((1 + n_all) / (1 + df.get(t, 0) + sum(x == t for *_, x, _ in listed))) + 1 if t not in idf else idf[t]
+    weights: dict[str, dict[str, float]] = {}
+    for template, _, _, t, n in listed:
+        weights.setdefault(template, {})[t] = (1 + log(n)) * idf[t]
+    asked = F.lit(needed(weights))
+    about = {template: (license, title) for template, license, title, *_ in listed}
+    rows = [(template, *about[template], t, w / sum(x * x for x in ws.values()) ** 0.5, idf[t]) for template, ws in weights.items() for t, w in ws.items()]
+    weighed = F.broadcast(spark.createDataFrame(rows, "template string, license string, title boolean, term string, share double, idf double"))
     rarity = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    norms = hits.join(rarity, "term").groupBy("rid", "unit").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("known"), F.sum("tf").alias("n_known"))
-    dots = hits.join(weighed, "term").groupBy("rid", "unit", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, ["rid", "unit"]).join(lengths, ["rid", "unit"])
+
+    some = files.where(F.arrays_overlap(_terms(F.col("text")), asked)).dropDuplicates(["rid"])
+    each = some.select("rid", F.posexplode(units(F.col("text"))).alias("unit", "u")).select("rid", "unit", _terms(F.col("u")).alias("terms")).where(F.arrays_overlap("terms", asked))
+    u = settle(each.select("rid", "unit", F.size("terms").alias("n"), "terms"))
+    # A row for each (unit, term), with the number of times.
+    hits = settle(u.select("rid", "unit", "n", F.explode("terms").alias("term")).join(vocabulary, "term").groupBy("rid", "unit", "n", "term").agg(F.count("*").alias("tf")))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    norms = hits.join(rarity, "term").groupBy("rid", "unit", "n").agg(F.sum(F.pow(weight, 2)).alias("known"), F.sum("tf").alias("n_known"))
+    dots = hits.join(weighed, "term").groupBy("rid", "unit", "template", "license", "title").agg(F.sum(weight * F.col("share")).alias("dot"))
     cosine = F.round(F.col("dot") / F.sqrt(F.col("known") + (F.col("n") - F.col("n_known"))), PLACES)
-    scored = scored.withColumn("cosine", cosine).where(F.col("cosine") >= LEAST)
-    best = scored.groupBy("rid").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
-    sizes = lengths.groupBy("rid").agg(F.sum("n").alias("unit_terms"))
-    return best.join(sizes, "rid").select("rid", F.col("best.license").alias("license"), (-F.col("best.less")).alias("cosine"), "unit_terms")
+    scored = dots.join(norms, ["rid", "unit"]).withColumn("cosine", cosine).where(F.col("cosine") >= LEAST)
+    like = ((F.col("unit") == 0) & (F.col("cosine") >= FILE_LEAST)) | (F.col("title") & (F.col("unit") == 1) & (F.col("cosine") >= TITLE_LEAST))
+    by_license = scored.groupBy("rid", "license").agg(F.max("cosine").alias("cosine"), F.max((F.col("unit") == 0) & (F.col("cosine") >= FILE_LEAST)).alias("whole"), F.max(like).alias("headed"))
+    best = by_license.groupBy("rid").agg(F.min(F.struct((F.col("license") == LAST).alias("last"), (-F.col("cosine")).alias("less"), "license", "whole", "headed")).alias("b"))
+    shares = norms.where("unit = 0").select("rid", (F.col("n_known") >= SHARE * F.col("n")).alias("known_text"))
+    out = best.join(shares, "rid", "left")
+    return out.select("rid", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"), (F.col("b.whole") | (F.col("b.headed") & F.coalesce("known_text", F.lit(False)))).alias("like_file"))
 
 
 def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*\z", "")
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
+def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", templates: Templates | None = None) -> DataFrame:
     """One row for each row of ``files``: id, path, license, cosine, license_file, inherited (from the directory), license_from.
 
-    ``license_from`` is ``notice``, ``directory`` or null.
+    ``license_from`` is ``notice``, ``directory`` or null. ``templates``: for each licence its notices and texts, and its titles.
     """
     f = pick(files, id=id_col, text=text_col, path=path_col)
-    # A row's number: its content's digest, so that it is the same whenever it is made again; equal rows share it.
-    rid = F.xxhash64(F.col("id"), F.col("path"), F.col("text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    f = f.select("id", "path", text.alias("text"), rid.alias("rid"))
-    rows = settle(f.select("id", "path", "rid", F.when(F.col("text").rlike(MARK), F.size(_terms(F.col("text")))).otherwise(0).alias("terms")))
-    found = settle(own(f.where(F.col("text").rlike(MARK)).dropDuplicates(["rid"]).select("rid", "text")))
-    told = rows.join(found, "rid", "left").withColumn("license_file", F.coalesce(F.col("unit_terms") >= FILE_SHARE * F.col("terms"), F.lit(False)))
+    # A row's number: the digest of its content, each part with its length; equal rows share it.
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    rid = F.sha2(F.concat(*[part(F.col(c).cast("string")) for c in ("id", "path", "text")]), 256)
+    f = f.select("id", "path", F.coalesce("text", F.lit("")).alias("text"), rid.alias("rid"))
+    found = settle(own(f.select("rid", "text"), templates))
+    told = f.select("id", "path", "rid").join(found, "rid", "left")
+    named = F.coalesce(F.lower("path").rlike(NAMED), F.lit(False))
+    told = told.withColumn("license_file", F.col("license").isNotNull() & (named | F.coalesce("like_file", F.lit(False))))
     told = settle(told.withColumn("dir", directory(F.col("path"))))
 
     licensed = told.where("license_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license").alias("license"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("inherited"))

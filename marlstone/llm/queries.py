@@ -139,27 +139,30 @@ def _op10_sql() -> str:
     def text(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    templates = ", ".join(f"({text(f'{name}/{k}')}, {text(name)}, {text(term)}, {n})" for name, k, term, n in license_tfidf.template_terms())
-    n_templates = sum(len(v) for v in license_tfidf.TEMPLATES.values())
-    mark, term = (text(x) for x in (license_tfidf.MARK, license_tfidf.TERM))
+    t = license_tfidf
+    templates = ", ".join(f"({text(template)}, {text(name)}, {title}, {text(term)}, {n})" for template, name, title, term, n in t.template_terms())
+    blank, comments, term = (text(x) for x in (t.BLANK_LINE, t.COMMENTS, t.TERM))
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(source || '/', '') || coalesce(lang || '/', '') AS above, rtrim(coalesce(source || '/', '') || coalesce(lang || '/', ''), '/') AS dir, coalesce(text, '') AS text FROM documents),
-tpl(template, license, term, tf) AS (VALUES {templates}),
-marked AS (SELECT * FROM d WHERE regexp_matches(text, {mark})),
-line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS unit, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM marked)),
-u AS (SELECT doc_id, unit, regexp_extract_all(lower(line), {term}) AS terms FROM line WHERE regexp_matches(line, {mark})),
+tpl(template, license, title, term, tf) AS (VALUES {templates}),
+parts AS (
+  SELECT doc_id, [text] || list_filter(regexp_split_to_array(text, {blank}), lambda x: regexp_matches(x, '\\S')) || regexp_extract_all(text, {comments}) || list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS us FROM d),
+u AS (SELECT doc_id, unit - 1 AS unit, regexp_extract_all(lower(u), {term}) AS terms FROM (SELECT doc_id, unnest(range(1, len(us) + 1)) AS unit, unnest(us) AS u FROM parts)),
 hit AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(terms) AS term FROM u) WHERE term IN (SELECT term FROM tpl) GROUP BY ALL),
-df AS (SELECT term, sum(n) AS df FROM (SELECT term, count(*) AS n FROM hit GROUP BY 1 UNION ALL SELECT term, count(DISTINCT template) FROM tpl GROUP BY 1) GROUP BY 1),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM u) + {n_templates})::DOUBLE / (1 + df)) + 1 AS idf FROM df),
-weight AS (SELECT template, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS share FROM tpl JOIN idf USING (term)),
-norm AS (SELECT doc_id, unit, sum((tf * idf) ** 2) AS known, sum(tf) AS n_known FROM hit JOIN idf USING (term) GROUP BY ALL),
-dot AS (SELECT doc_id, unit, template, license, sum(tf * idf * share) AS dot FROM hit JOIN idf USING (term) JOIN weight USING (term) GROUP BY ALL),
-scored AS (SELECT doc_id, license, round(dot / sqrt(known + (len(terms) - n_known)), {license_tfidf.PLACES}) AS cosine FROM dot JOIN norm USING (doc_id, unit) JOIN u USING (doc_id, unit)),
-best AS (SELECT DISTINCT ON (doc_id) doc_id, license, cosine FROM scored WHERE cosine >= {license_tfidf.LEAST} ORDER BY doc_id, cosine DESC, license),
+df AS (SELECT term, sum(n) AS df FROM (SELECT term, count(*) AS n FROM hit WHERE unit = 0 GROUP BY 1 UNION ALL SELECT term, count(DISTINCT template) FROM tpl GROUP BY 1) GROUP BY 1),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents) + (SELECT count(DISTINCT template) FROM tpl))::DOUBLE / (1 + df)) + 1 AS idf FROM df),
+weight AS (SELECT template, license, title, term, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY template)) AS share FROM tpl JOIN idf USING (term)),
+norm AS (SELECT doc_id, unit, sum(((1 + ln(tf)) * idf) ** 2) AS known, sum(tf) AS n_known FROM hit JOIN idf USING (term) GROUP BY ALL),
+dot AS (SELECT doc_id, unit, template, license, title, sum((1 + ln(tf)) * idf * share) AS dot FROM hit JOIN idf USING (term) JOIN weight USING (term) GROUP BY ALL),
+scored AS (SELECT doc_id, unit, license, title, n_known >= {t.SHARE} * len(terms) AS known_text, round(dot / sqrt(known + (len(terms) - n_known)), {t.PLACES}) AS cosine FROM dot JOIN norm USING (doc_id, unit) JOIN u USING (doc_id, unit)),
+enough AS (SELECT * FROM scored WHERE cosine >= {t.LEAST}),
+best AS (SELECT DISTINCT ON (doc_id) doc_id, license, cosine FROM enough ORDER BY doc_id, license = {text(t.LAST)}, cosine DESC, license),
+filed AS (
+  SELECT s.doc_id, bool_or(unit = 0 AND s.cosine >= {t.FILE_LEAST}) AS whole, bool_or(title AND unit = 1 AND s.cosine >= {t.TITLE_LEAST}) AS headed
+  FROM enough s JOIN best USING (doc_id, license) GROUP BY 1),
 told AS (
-  SELECT d.doc_id, dir, license, cosine,
-         coalesce((SELECT sum(len(terms)) FROM u WHERE u.doc_id = d.doc_id) >= {license_tfidf.FILE_SHARE} * len(regexp_extract_all(lower(text), {term})), false) AND license IS NOT NULL AS license_file
-  FROM d LEFT JOIN best USING (doc_id)),
+  SELECT d.doc_id, dir, license, cosine, coalesce(whole OR (headed AND (SELECT bool_or(known_text) FROM scored k WHERE k.doc_id = d.doc_id AND unit = 0)), false) AS license_file
+  FROM d LEFT JOIN best USING (doc_id) LEFT JOIN filed USING (doc_id)),
 given AS (SELECT DISTINCT ON (dir) dir, license FROM told WHERE license_file ORDER BY dir, cosine DESC, license),
 near AS (
   SELECT DISTINCT ON (a.dir) a.dir, g.license AS inherited
