@@ -726,28 +726,79 @@ def test_licenses(spark):
 
 
 def test_license_cosines(spark):
-    """Against a plain sum over the same units."""
-    from math import log, sqrt
+    """Against plain sums over all units, none left out."""
     import re
+    from math import log, sqrt
 
     f = files(spark)
-    units = [(r["doc_id"], line) for r in f.collect() for line in (r["text"] or "").split("\n") if re.search(license_tfidf.MARK, line)]
-    units = list(dict.fromkeys(units))
+    rows = [(r["doc_id"], r["text"] or "") for r in f.collect()]
     terms = lambda t: Counter(re.findall(license_tfidf.TERM, t.lower()))
-    templates = [(name, terms(t)) for name, ts in license_tfidf.TEMPLATES.items() for t in ts]
-    every = [terms(line) for _, line in units] + [t for _, t in templates]
+    templates = [(name, terms(t)) for name, both in license_tfidf.TEMPLATES.items() for ts in both for t in ts]
+    every = [terms(t) for _, t in rows] + [t for _, t in templates]
     known = {w for _, t in templates for w in t}
     idf = {w: log((1 + len(every)) / (1 + sum(w in t for t in every))) + 1 for w in known}
-    best = {}
-    for i, line in units:
-        u = terms(line)
-        size = sqrt(sum((n * idf[w]) ** 2 for w, n in u.items() if w in known) + sum(n for w, n in u.items() if w not in known))
-        for name, t in templates:
-            dot = sum(u[w] * n * idf[w] ** 2 for w, n in t.items())
-            best.setdefault(i, []).append((-round(dot / size / sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())), 6), name))
-    want = {i: min(c) for i, c in best.items() if -min(c)[0] >= license_tfidf.LEAST}
+    weight = lambda n, w: (1 + log(n)) * idf[w]
+    want = {}
+    for i, text in rows:
+        blocks = [b for b in re.split(license_tfidf.BLANK_LINE, text) if b.strip()]
+        for unit in [text, *blocks, *[m[0] for m in re.finditer(license_tfidf.COMMENTS, text)], *text.split("\n")]:
+            u = terms(unit)
+            size = sqrt(sum(weight(n, w) ** 2 for w, n in u.items() if w in known) + sum(n for w, n in u.items() if w not in known))
+            for name, t in templates:
+                dot = sum(weight(u[w], w) * weight(n, w) for w, n in t.items() if w in u)
+                if dot and (c := round(dot / size / sqrt(sum(weight(n, w) ** 2 for w, n in t.items())), 6)) >= license_tfidf.LEAST:
+                    want[i] = min(want.get(i, (2,)), (name == license_tfidf.LAST, -c, name))
     got = {r["id"]: (-r["cosine"], r["license"]) for r in license_tfidf.scan(f).collect() if r["license"]}
-    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in got)
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][2] and abs(got[i][0] - want[i][1]) < 2e-6 for i in got)
+
+
+GNU = """/*
+ * Copyright (C) 2020 Some Body
+ *
+ * This {0} is free software: you can redistribute it and/or modify
+ * it under the terms of the {1} as
+ * published by the Free Software Foundation, either version {2} of the
+ * License, or (at your option) any later version.
+ *
+ * This {0} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * {1} for more details.
+ */
+#include <stdio.h>
+int main(void) {{ return 0; }}
+"""
+
+
+def test_licenses_of_wrapped_headers(spark):
+    gpl, lesser, affero = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+    cases = [("GPL-2.0", gpl, 2), ("GPL-3.0", gpl, 3), ("LGPL-2.1", lesser, "2.1"), ("LGPL-3.0", lesser, 3), ("AGPL-3.0", affero, 3)]
+    rows = [(f"{want} {what}", GNU.format(what, name, v), f"src/{k}.c") for k, (want, name, v) in enumerate(cases) for what in ("program", "library")]
+    rows += [("Apache-2.0 x", "# Copyright 2021\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with\n# the License.\nimport os\n", "a.py"), ("CC0-1.0 x", "-- To the extent possible under law, the author has waived\n-- all copyright and related or neighboring rights to this\n-- work\nselect 1", "b.sql")]
+    out = license_tfidf.scan(spark.createDataFrame(rows, "doc_id string, text string, path string")).collect()
+    assert {r["id"]: r["license"] for r in out} == {i: i.split()[0] for i, _, _ in rows}
+
+
+def test_licenses_of_whole_texts(spark):
+    """Texts that this machine happens to have; each names itself and passes its name to files below."""
+    import os
+
+    have = {"GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0"}
+    texts = {name: open(p, errors="replace").read() for name, at in have.items() if os.path.exists(p := f"/usr/share/common-licenses/{at}")}
+    if not texts:
+        pytest.skip("no licence texts here")
+    rows = [(name, t, f"{name}/LICENSE") for name, t in texts.items()] + [(f"{name} below", "code = 1", f"{name}/src/deep/x.py") for name in texts]
+    rows += [(f"{name} elsewhere", t, f"plain-{name}/text-{k}") for k, (name, t) in enumerate(texts.items())]
+    out = {r["id"]: r for r in license_tfidf.scan(spark.createDataFrame(rows, "doc_id string, text string, path string")).collect()}
+    for name in texts:
+        assert out[name]["license"] == name == out[f"{name} elsewhere"]["license"] and out[name]["license_file"]
+        assert out[f"{name} below"]["inherited"] == name and out[f"{name} below"]["license"] is None
+
+
+def test_equal_looking_rows_have_their_own_license(spark):
+    rows = [(1, None, "x"), (1, "x", None), (1, "Released under the MIT License.", None), (1, None, "Released under the MIT License.")]
+    out = license_tfidf.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()
+    assert Counter((r["path"], r["license"]) for r in out) == Counter([("x", None), (None, None), (None, "MIT"), ("Released under the MIT License.", None)])
 
 
 def test_licenses_of_odd_rows(odd):
