@@ -22,3 +22,17 @@ def label_map(columns: Mapping[str, Column]) -> Column:
 
 def literal_map(labels: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<string,string>")
+
+
+#: Folders that a registry segment is dealt to.
+BUCKETS = 64
+
+
+def bucket_of(key: Column) -> Column:
+    """The folder of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def clean_labels(labels: Column) -> Column:
+    """A label set without the labels that have no value; those are absent."""
+    return F.map_filter(labels, lambda _, v: v.isNotNull())

@@ -62,16 +62,21 @@ def bitmap_and(maps: DataFrame, n: int) -> DataFrame:
     return maps.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("inputs")).where(F.col("inputs") == n).select("bucket", "bits")
 
 
-def bitmap_tsids(maps: DataFrame) -> DataFrame:
-    """(bucket, bits) -> tsid: the numbers of the bits set. Bytes are taken apart as hex, each digit once."""
-    digits = F.posexplode(F.split(F.hex("bits"), "")).alias("at", "digit")
-    some = maps.select("bucket", digits).where("digit not in ('0', '')")
-    value = F.conv("digit", 16, 10).cast("int")
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: F.pmod(F.floor(value / F.pow(F.lit(2), k)), F.lit(2)) == 1)).alias("bit")
-    some = some.select("bucket", "at", bit)
-    # Two digits a byte, the high one first; bits of a byte from its low end.
-    place = F.floor(F.col("at") / 2) * 8 + F.when(F.col("at") % 2 == 0, 4).otherwise(0) + F.col("bit")
-    return some.select(((F.col("bucket") - 1) * 32_768 + place + 1).cast("long").alias("tsid"))
+def bitmap_pages(posting_rows: DataFrame) -> DataFrame:
+    """(name, value, tsid, min_t, max_t) -> name, value, bucket, bits, min_t, max_t: bitmaps with the times of all their series together."""
+    own = posting_rows.groupBy("name", "value", F.bitmap_bucket_number("tsid").alias("bucket"))
+    return own.agg(F.bitmap_construct_agg(F.bitmap_bit_position("tsid")).alias("bits"), F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"))
+
+
+def bitmap_tsids(maps: DataFrame, *keep: str) -> DataFrame:
+    """(bucket, bits) -> tsid, beside the columns ``keep``: the numbers of the bits set. A bitmap is taken apart as 512 words; those with no bit go first."""
+    word = lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, 8)), 16, -10).cast("long")
+    words = F.filter(F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.struct(i.alias("i"), word(i).alias("w"))), lambda x: x["w"] != 0)
+    some = maps.select(*keep, "bucket", F.explode(words).alias("x"))
+    # The word's first byte is its highest; bits of a byte count from its low end.
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(F.col("x.w"), (7 - F.floor(k / 8)).cast("int") * 8 + k % 8) == 1)
+    place = F.explode(bits).alias("k")
+    return some.select(*keep, "bucket", F.col("x.i").alias("i"), place).select(*keep, ((F.col("bucket") - 1) * 32_768 + F.col("i") * 64 + F.col("k") + 1).cast("long").alias("tsid"))
 
 
 def layout(posting_rows: DataFrame, page: int = 4096, entry: int = 12) -> DataFrame:

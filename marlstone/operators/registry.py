@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import label_key, literal_map
+from ..functions.labels import clean_labels, label_key, literal_map
 from ..functions.storage import settle
 from ..model import label_set
 
@@ -38,10 +38,15 @@ def number(rows: DataFrame, order: Sequence[Column] = (), start: int = 0) -> Dat
     return dealt.withColumn("part", part).join(begins, "part").withColumn("tsid", tsid).select("tsid", *rows.columns)
 
 
+def keyed(samples: DataFrame) -> DataFrame:
+    """``samples`` (labels, ...) with the canonical key of each label set; labels without a value are absent."""
+    return samples if "key" in samples.columns else samples.withColumn("key", label_key(clean_labels(F.col("labels"))))
+
+
 def label_sets(samples: DataFrame) -> DataFrame:
-    """(labels, t, ...) -> key, labels, min_t, max_t: each label set once, with the times it was seen."""
-    keyed = samples.withColumn("key", label_key(F.col("labels")))
-    return keyed.groupBy("key").agg(F.any_value("labels").alias("labels"), F.min("t").alias("min_t"), F.max("t").alias("max_t"))
+    """(labels, t, ...) -> key, labels, min_t, max_t: each label set once, with the times it was seen. Rows without a label set have none."""
+    own = keyed(samples).where("labels is not null")
+    return own.groupBy("key").agg(clean_labels(F.any_value("labels")).alias("labels"), F.min("t").alias("min_t"), F.max("t").alias("max_t"))
 
 
 def build(samples: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
@@ -66,9 +71,14 @@ def register(registry: DataFrame, batch: DataFrame, order: Sequence[Column] = ()
     return existing(registry, batch).withColumn("inserted", F.lit(False)).unionByName(new(registry, batch, order).withColumn("inserted", F.lit(True)))
 
 
+def key_of(labels: Mapping[str, str]) -> Column:
+    """The key of a label set, a constant."""
+    return label_key(literal_map(label_set(labels)))
+
+
 def exists(registry: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     """The tsid of just this label set; no row if it isn't registered."""
-    return registry.where(F.col("key") == label_key(literal_map(label_set(labels)))).select("tsid")
+    return registry.where(F.col("key") == key_of(labels)).select("tsid")
 
 
 def series_labels(registry: DataFrame, tsid: int) -> DataFrame:
@@ -83,5 +93,4 @@ def current_tsid(registry: DataFrame) -> DataFrame:
 
 def attach(samples: DataFrame, registry: DataFrame) -> DataFrame:
     """(labels, t, v) -> tsid, t, v."""
-    keyed = samples.select(label_key(F.col("labels")).alias("key"), "t", "v")
-    return keyed.join(registry.select("key", "tsid"), "key").select("tsid", "t", "v")
+    return keyed(samples).select("key", "t", "v").join(registry.select("key", "tsid"), "key").select("tsid", "t", "v")
