@@ -34,8 +34,8 @@ def test_store_prunes(spark, sf_dir, tmp_path):
     engine = Engine(spark, str(tmp_path / "s"))
     engine.append(events.samples(spark, sf_dir, "F3"))
     engine.compact()
-    text = plan(engine.store.cold_postings().where("name = 'band' and value > 'm'"))
-    assert re.search(r"PartitionFilters: \[[^\]]*name#\d+ = band", text) and "GreaterThan(value,m)" in text
+    text = plan(engine.store.index()[0].where("name = 'user_id' and value > 'm'"))
+    assert re.search(r"PartitionFilters: \[[^\]]*name#\d+ = user_id", text) and "GreaterThan(value,m)" in text
     text = plan(engine.store.samples(None, 1_704_844_800_000, 1_705_449_600_000))
     assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 19732", text) and "LessThanOrEqual(t,1705449600000)" in text
     assert engine.store.samples(None, 1_704_844_800_000, 1_705_449_600_000).count() == events.sample_rows(spark, sf_dir).where("t between 1704844800000 and 1705449600000").count()

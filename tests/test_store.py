@@ -1,9 +1,13 @@
 """Registration, persistence, compaction, versions, recovery, streaming."""
 
+import json
+import threading
+from dataclasses import asdict
+
 import pytest
 
 from marlstone.engine import Engine
-from marlstone.model import CheckpointPolicy, eq, neq
+from marlstone.model import CheckpointPolicy, eq, gte, matches, neq, not_matches
 from marlstone.operators import postings, registry
 from marlstone.operators.resolve import STRATEGIES
 from marlstone.sources.store import ConflictError, Store
@@ -71,7 +75,7 @@ def test_life_of_a_store(spark, engine, tmp_path):
     before = answers()
     assert all(a == b == c for a, b, c in before) and [len(x[0]) for x in before] == [1, 0, 1, 1]
     m = engine.compact()
-    assert m.version == 2 and not m.hot_samples and m.compacted_tsid == 2 and m.compacted_t == 30
+    assert m.version == 2 and not m.hot and m.compacted_tsid == 2 and m.compacted_t == 30
     assert answers() == before and engine.compact().version == 2
     engine.append(batch(spark, ({"__name__": "m", "a": "1"}, 99, 9.0), ({"__name__": "k"}, 5, 7.0)), "b1")
     assert engine.append(batch(spark, ({"__name__": "z"}, 1, 1.0)), "b1").version == 3
@@ -107,7 +111,7 @@ def test_unpublished_folders_don_t_count(spark, engine, monkeypatch):
     again = Engine(spark, engine.store.folder.path)
     assert again.current_tsid() == 2 and again.querier(0, 9).select([neq("a", "")]).count() == 1
     assert again.append(batch(spark, ({"a": "2"}, 2, 2.0))).tsid == 2
-    assert len([g for g in again.store.vacuum(keep=9) if g.startswith(("log", "samples"))]) == 2
+    assert len([g for g in again.store.vacuum(keep=9) if g.startswith(("touched", "hot_samples"))]) == 2
 
 
 def test_second_writer_loses(spark, engine):
@@ -119,12 +123,158 @@ def test_second_writer_loses(spark, engine):
 def test_policies(spark, tmp_path, capfd):
     rows = [({"a": str(i)}, i, 0.0) for i in range(5)]
     off = Engine(spark, str(tmp_path / "off"), CheckpointPolicy.DISABLED, compact_after=2)
-    assert off.append(batch(spark, *rows)).hot_samples and not off.compact().hot_samples
+    assert off.append(batch(spark, *rows)).hot and not off.compact().hot
     said = Engine(spark, str(tmp_path / "said"), CheckpointPolicy.PRINT, compact_after=2)
-    assert not said.append(batch(spark, *rows)).hot_samples
+    assert not said.append(batch(spark, *rows)).hot
     assert "6,b" in (err := capfd.readouterr().err) and "6,e" in err
 
 
+def rows_of(df):
+    return sorted(r[0] for r in df.collect())
+
+
+def many(n, first=0):
+    """Label sets of which some names fill bitmaps and others stay lists."""
+    return [({"__name__": "m", "id": f"{i:05d}", "kind": "ab"[i % 2], **({"odd": "x"} if i % 3 == 0 else {})}, first + i, float(i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("bitmap_only", [False, True])
+def test_strategies_read_the_compacted_index(spark, tmp_path, bitmap_only):
+    """Three ways, over epochs and a hot part, with and without times, as a plain reading has it."""
+    engine = Engine(spark, str(tmp_path / "s"), bitmap_only=bitmap_only)
+    data = [many(700), many(300, 5000), many(40, 9000)]
+    for rows in data[:2]:
+        engine.append(batch(spark, *rows))
+        engine.compact()
+    engine.append(batch(spark, *data[2]))
+    m = engine.store.manifest()
+    kinds = [{"postings", "bitmaps"} & set(e[4]) for e in m.epochs]
+    assert kinds == ([{"bitmaps"}] * 2 if bitmap_only else [{"postings", "bitmaps"}, {"postings"}])  # the rule picks by size
+    spans = {}
+    for rows in data:
+        for labels, t, _ in rows:
+            spans.setdefault(tuple(sorted(labels.items())), []).append(t)
+    ids = {tuple(sorted(r["labels"].items())): r["tsid"] for r in engine.store.series().collect()}
+    asked = [[eq("kind", "a")], [eq("kind", "a"), neq("odd", "x")], [matches("id", "0000.|0001."), eq("kind", "b")], [neq("kind", "a")], [gte("id", "00690")], [eq("kind", "a"), eq("odd", "y")], [eq("odd", "x"), not_matches("id", ".*5")]]
+    import re
+
+    test = {"=": lambda v, x: v == x, "!=": lambda v, x: v != x, ">=": lambda v, x: v is not None and v >= x, "=~": lambda v, x: v is not None and re.fullmatch(x, v), "!~": lambda v, x: v is not None and not re.fullmatch(x, v)}
+    ranges = [(None, None), (0, 100), (699, 5001), (800, 5000), (5290, 9001), (9039, None), (None, 1)]
+    for k, ms in enumerate(asked):
+        for start, end in (ranges[k % 7], ranges[(3 * k + 2) % 7]):
+            want = sorted(ids[k] for k, ts in spans.items() if all(test[m.op.value](dict(k).get(m.name), m.value) for m in ms) and any((end is None or t < end) and (start is None or t >= start) for t in ts))
+            for way in ("map", "postings", "bitmap"):
+                assert rows_of(engine.resolve(ms, start, end, way)) == want, (ms, start, end, way)
+    q = [engine.querier(5000, 9010, way).select([eq("kind", "a"), eq("odd", "x")]) for way in ("map", "postings", "bitmap")]
+    assert sorted(map(tuple, q[0].collect())) == sorted(map(tuple, q[1].collect())) == sorted(map(tuple, q[2].collect())) and q[0].count() == 52
+    assert rows_of(engine.label_values("kind")) == ["a", "b"] and rows_of(engine.label_names()) == ["__name__", "id", "kind", "odd"]
+    assert engine.postings("kind", "a").count() == 350
+
+
+def test_epochs_out_of_range_aren_t_read(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"))
+    for first in (0, 10_000, 20_000):
+        engine.append(batch(spark, *many(50, first)))
+        engine.compact()
+    m = engine.store.manifest()
+    for kind in m.epochs[1][4]:
+        files = engine.store.epochs(m, kind, 10_000, 10_050).inputFiles()
+        assert len(files) and all(m.epochs[1][0] in f for f in files)
+    assert engine.resolve([eq("kind", "a")], 500, 9_000, "postings").count() == 0 and engine.resolve([eq("kind", "a")], 9_000, 10_001, "bitmap").count() == 1
+    files = engine.resolve([eq("kind", "a")], 10_000, 10_050, "bitmap").inputFiles()
+    assert any(m.epochs[1][0] in f and "postings" in f for f in files) and not any(e[0] in f and "series" not in f for f in files for e in (m.epochs[0], m.epochs[2]))
+
+
+def test_many_commits_leave_a_small_manifest(spark, tmp_path, monkeypatch):
+    """70 commits, with merges of 3: the lists, the manifest and the plan stay as small as after 20, and nothing is lost."""
+    monkeypatch.setattr("marlstone.sources.store.FAN", 3)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    engine = Engine(spark, str(tmp_path / "s"), hot_commits=3, keep=8)
+    sizes, plans = [], []
+    for k in range(70):
+        m = engine.append(spark.createDataFrame([({"id": str(k % 30), "b": str(k)}, k, 1.0)], BATCH).coalesce(1), f"stream/{k}")
+        sizes.append(len(json.dumps(asdict(m))))
+        plans.append(len(engine.store.index()[0]._jdf.queryExecution().analyzed().toString().split("\n")))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(sizes[20:]) < 2 * max(sizes[:20]) and max(plans[20:]) <= max(plans[:20]) < 30
+    assert m.tsid == 70 and len(m.epochs) < 4 * 3 and len(m.segments) < 4 * 3 and m.streams == {"stream": 69} and not m.batches
+    assert engine.append(batch(spark, ({"z": "1"}, 1, 1.0)), "stream/50") == m
+    assert len(engine.store.versions()) <= 8 + 5
+    assert engine.querier(0, 999).select([eq("id", "7")]).count() == 3 and engine.store.samples().count() == 70
+    assert engine.resolve([eq("id", "7")], 37, 38, "postings").count() == 1
+
+
+def test_commits_read_touched_folders(spark, engine):
+    engine.append(batch(spark, *many(300)))
+    engine.compact()
+    key = registry.key_of(many(8)[7][0])
+    files = engine.store.series(None, key)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in files and "bucket#" in files
+    assert engine.store._cold_series(engine.store.manifest()).select("bucket").distinct().count() > 30
+    assert engine.exists(many(8)[7][0]) is not None and engine.exists({"__name__": "m"}) is None
+    m = engine.append(batch(spark, *many(301)[299:]))
+    assert m.tsid == 301
+
+
+def test_null_labels(spark, engine):
+    """A label without a value is absent; a row without a label set or a time is refused."""
+    engine.append(batch(spark, ({"a": None, "b": "1"}, 1, 1.0), ({"b": "1"}, 2, 2.0)))
+    assert engine.current_tsid() == 2 and engine.exists({"b": "1"}) == 1 and engine.querier(0, 9).select([eq("b", "1")]).count() == 2
+    for bad in ((None, 1, 1.0), ({"a": "1"}, None, 1.0)):
+        with pytest.raises(ValueError):
+            engine.append(batch(spark, ({"a": "2"}, 1, 1.0), bad))
+    assert engine.current_tsid() == 2 and engine.store.manifest().version == 1
+    assert registry.label_sets(batch(spark, ({"a": None, "b": "1"}, 1, 1.0), ({"b": "1"}, 2, 2.0), (None, 3, 3.0))).count() == 1
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    folder = Store(spark, str(tmp_path / "s")).folder
+    for k in range(25):
+        won = []
+        threads = [threading.Thread(target=lambda i=i: won.append(folder.publish(f"v{k}", str(i), f".scratch-{k}-{i}"))) for i in range(6)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert sum(won) == 1 and folder.read(f"v{k}") in map(str, range(6))
+    assert not [n for n in folder.names() if "scratch" in n and not n.endswith(".crc")]
+    one, other = (Engine(spark, str(tmp_path / "t")) for _ in range(2))
+    failed = []
+
+    def write(e, label):
+        try:
+            e.append(batch(spark, ({"w": label}, 1, 1.0)))
+        except ConflictError as x:
+            failed.append(x)
+
+    threads = [threading.Thread(target=write, args=(e, str(k))) for k, e in enumerate((one, other))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    m = one.store.manifest()
+    assert m.version + len(failed) == 2 == m.tsid + len(failed)
+
+
+def test_compaction_in_the_background(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), hot_commits=2, background=True)
+    for k in range(7):
+        engine.append(batch(spark, ({"id": str(k)}, k, 1.0)))
+    m = engine.wait()
+    assert m.tsid == 7 and m.epochs and engine.store.samples().count() == 7 and engine.resolve([neq("id", "none")]).count() == 7
+    assert engine.compact().hot == [] and engine.querier(0, 9).select([neq("id", "none")]).count() == 7
+
+
+def test_caches_are_bounded(spark, engine, monkeypatch):
+    monkeypatch.setattr("marlstone.engine.CACHED", 2)
+    engine.append(batch(spark, *many(4)))
+    assert [engine.exists(many(4)[k][0]) for k in (0, 1, 2, 0)].count(None) == 0 and len(engine._tsids) == 2
+    first = engine.series_labels(1)
+    first["x"] = "changed"
+    monkeypatch.setattr(engine.store, "series", None)
+    assert "x" not in engine.series_labels(1)
+
+
 def test_empty_batch(spark, engine):
     assert engine.append(batch(spark, ({"a": "1"}, 1, 1.0)).limit(0)).version == 0
 
