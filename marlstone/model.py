@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import enum
-import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
+from .plans.patterns import java_pattern
+
 #: The label that carries the metric's name.
 NAME = "__name__"
 LABELS = T.MapType(T.StringType(), T.StringType(), False)
@@ -38,10 +39,6 @@ _OPPOSITE = {
     MatchOp.LTE: MatchOp.GTR,
 }
 
-#: Constructs that Java's regular expressions have and RE2's haven't.
-_NOT_RE2 = re.compile(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<|[*+?}]\+")
-
-
 @dataclass(frozen=True)
 class Matcher:
     """One condition on one label: ``name op value``."""
@@ -55,8 +52,8 @@ class Matcher:
             raise TypeError(f"op is a MatchOp, not {self.op!r}")
         if not isinstance(self.name, str) or not isinstance(self.value, str):
             raise TypeError("label names and values are strings")
-        if self.op in (MatchOp.EQL_REGEX, MatchOp.NEQ_REGEX) and _NOT_RE2.search(self.value):
-            raise ValueError(f"not an RE2 pattern: {self.value!r}")
+        if self.op in (MatchOp.EQL_REGEX, MatchOp.NEQ_REGEX):
+            java_pattern(self.value)
 
     def negate(self) -> Matcher:
         """The opposite test of a label that is present."""

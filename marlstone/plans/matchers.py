@@ -25,11 +25,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import Matcher, MatchOp
+from .patterns import java_pattern
 
 
 def whole(pattern: str) -> str:
     """The pattern anchored at both ends; ``$`` would also match before a last line end."""
-    return rf"\A(?:{pattern})\z"
+    return rf"\A(?:{java_pattern(pattern)})\z"
 
 
 #: The order of label values: that of their bytes, which is Spark's for strings. Numbers compare as text.

@@ -76,21 +76,78 @@ def add_series_new(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tsid", *_flat("event_type", "user_id"))
 
 
+_KEPT: dict[tuple, Engine] = {}
+#: The stores that queries read: label set, and the time that parts the first commit, which is compacted, from the second, which is hot.
+STORES = (("F1", A), ("F1", B), ("F3", A))
+
+
+def kept_store(spark: SparkSession, d: str, which: str, cut: int) -> Engine:
+    """A store of two commits, built once a session."""
+    at = (spark.sparkContext.applicationId, d, which, cut)
+    if at not in _KEPT:
+        engine, rows = Engine(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), events.samples(spark, d, which)
+        engine.append(rows.where(F.col("t") < cut), "events/0")
+        engine.compact()
+        engine.append(rows.where(F.col("t") >= cut), "events/1")
+        engine.append(rows.where(F.col("t") >= cut), "events/1")  # a batch that comes again counts once
+        _KEPT[at] = engine
+    return _KEPT[at]
+
+
+def _as_in_registry(spark: SparkSession, d: str, engine: Engine, rows: DataFrame) -> DataFrame:
+    """``rows`` of a store's numbers with the numbers that the registry F1 has for the same label sets."""
+    names = engine.store.series().select("tsid", "key").join(F1(spark, d).select("key", F.col("tsid").alias("own")), "key")
+    return rows.join(names.select("tsid", "own"), "tsid").drop("tsid").withColumnRenamed("own", "tsid")
+
+
 def at_version(spark: SparkSession, d: str) -> DataFrame:
-    out = registry.label_sets(_before(spark, d))
-    return out.select(*_flat("event_type", "user_id"))
+    """The registry as the store's first version has it."""
+    return kept_store(spark, d, "F1", A).at_version(1).store.series(1).select(*_flat("event_type", "user_id"))
 
 
 def append_samples(spark: SparkSession, d: str) -> DataFrame:
-    known = F1(spark, d)
-    both = registry.attach(_before(spark, d), known).unionByName(registry.attach(_after(spark, d), known))
-    return both.groupBy("tsid").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("sum_v"))
+    """What two appends have left in a store."""
+    engine = kept_store(spark, d, "F1", A)
+    out = engine.store.samples().groupBy("tsid").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("sum_v"))
+    return _as_in_registry(spark, d, engine, out).select("tsid", "n", "sum_v")
 
 
 def hot_cold_union(spark: SparkSession, d: str) -> DataFrame:
-    tsids = resolve(F1(spark, d), [eq("event_type", "click")])
-    mine = _x1(spark, d).join(tsids, "tsid", "left_semi")
-    return postings.either(mine.where(F.col("t") >= B), mine.where(F.col("t") < B))
+    """A posting list of the cold tier, as rows or bitmaps, and that of the hot tier."""
+    engine = kept_store(spark, d, "F1", B)
+    m = engine.store.manifest()
+    asked = (F.col("name") == "event_type") & (F.col("value") == "click")
+    cold = engine.store.epochs(m, "postings").where(asked).select("tsid").union(postings.bitmap_tsids(engine.store.epochs(m, "bitmaps").where(asked)))
+    hot = postings.of(postings.postings(engine.store.touched(m)), "event_type", "click")
+    return _as_in_registry(spark, d, engine, postings.either(cold, hot)).select("tsid")
+
+
+def _store_resolve(strategy: str) -> Query:
+    """A selector and a time range over a compacted store with a hot part."""
+
+    def of(spark: SparkSession, d: str) -> DataFrame:
+        engine = kept_store(spark, d, "F3", A)
+        tsids = engine.resolve([eq("event_type", "purchase"), neq("band", "low"), lt("user_id", "5")], A, B, strategy)
+        return engine.store.series().join(tsids, "tsid", "left_semi").select(*_flat("event_type", "user_id", "band"))
+
+    return of
+
+
+def _store_select(strategy: str) -> Query:
+    def of(spark: SparkSession, d: str) -> DataFrame:
+        out = kept_store(spark, d, "F3", A).querier(A, B, strategy).select_with_labels([eq("event_type", "error"), lt("user_id", "2")])
+        return out.select(*_flat("event_type", "user_id"), "t", "v")
+
+    return of
+
+
+def store_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of two names, whichever way they are kept."""
+    engine = kept_store(spark, d, "F3", A)
+    asked = F.col("name").isin("event_type", "band")
+    rows, maps = engine.store.index()
+    every = rows.where(asked).select("name", "value", "tsid").union(postings.bitmap_tsids(maps.where(asked), "name", "value")).distinct()
+    return every.groupBy("name", "value").agg(F.count("*").alias("n"))
 
 
 def postings_list(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +210,9 @@ def recovery(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_at_version(spark: SparkSession, d: str) -> DataFrame:
-    return _store(spark, d, True).store.series(version=1).select(*_flat("event_type", "user_id"))
+    """The samples that the compacted second version of a store reads, beside the third."""
+    engine = kept_store(spark, d, "F1", A).at_version(2)
+    return engine.querier(0, 2 * B).select_with_labels([eq("event_type", "error")]).select(*_flat("event_type", "user_id"), "t", "v")
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
@@ -219,6 +278,11 @@ def queries() -> dict[str, Query]:
         "add_series_existing": add_series_existing,
         "add_series_new": add_series_new,
         "append_samples": append_samples,
+        **{f"store_resolve_{way}": _store_resolve(way) for way in ("map", "postings", "bitmap")},
+        **{f"store_select_{way}": _store_select(way) for way in ("auto", "postings", "bitmap")},
+        "store_label_values": lambda s, d: kept_store(s, d, "F3", A).label_values("band"),
+        "store_label_names": lambda s, d: kept_store(s, d, "F3", A).label_names(),
+        "store_postings": store_postings,
     }
 
 
@@ -288,8 +352,15 @@ def oracle_sql() -> dict[str, str]:
         "series_set": "SELECT tsid, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM x1 GROUP BY tsid",
         "manual_compact": f"SELECT event_type, user_id, t, v FROM x1 WHERE event_type = 'error' AND user_id < '2' AND t BETWEEN {A} AND {B}",
         "recovery": "SELECT event_type, user_id, min_t AS created_t FROM s1",
-        "store_at_version": out["at_version"],
+        "store_at_version": f"SELECT event_type, user_id, t, v FROM x1 WHERE event_type = 'error' AND t < {A}",
+        "store_label_values": out["label_values"],
+        "store_label_names": "SELECT DISTINCT name FROM p3",
+        "store_postings": "SELECT name, value, count(*) AS n FROM p3 WHERE name IN ('event_type', 'band') GROUP BY name, value",
     }
+    # A series is active if one of its intervals is: that of the first commit or that of the second.
+    iv = " UNION ALL ".join(f"SELECT event_type, user_id, band, min(t) AS lo, max(t) AS hi FROM smp WHERE t {side} {A} GROUP BY event_type, user_id, band" for side in ("<", ">="))
+    active = f"SELECT DISTINCT event_type, user_id, band FROM ({iv}) WHERE event_type = 'purchase' AND band IS DISTINCT FROM 'low' AND user_id < '5' AND lo < {B} AND hi >= {A}"
+    out |= {f"store_resolve_{way}": active for way in ("map", "postings", "bitmap")} | {f"store_select_{way}": out["manual_compact"] for way in ("auto", "postings", "bitmap")}
     out["stream_ingest"] = out["manual_compact"]
     out |= {f"match_and_{k}": out["match_and"] for k in ("postings", "bitmap")} | {"match_neq_postings": out["match_neq"]}
     return {name: _BASE + sql for name, sql in out.items()}
