@@ -82,7 +82,7 @@ def test_negate_and_bad_input():
     for op in MatchOp:
         m = Matcher(op, "x", "a")
         assert m.negate().negate() == m and m.negate() != m
-    for bad in ("(?=a)", r"(a)\1", "(?>a)", "a++", "(?<!a)b"):
+    for bad in ("(?=a)", r"(a)\1", "(?>a)", "a++", "(?<!a)b", r"\R", r"\h+", "a*+", "a**", r"\Z", "(a", "[a", "[[:odd:]]"):
         with pytest.raises(ValueError):
             matches("x", bad)
     with pytest.raises(TypeError):
@@ -100,3 +100,22 @@ def test_selector():
     for bad in ("", 'up{a="1"', 'up{a~"1"}', 'up{a="1" b="2"}', "up{} x"):
         with pytest.raises(ValueError):
             parse_selector(bad)
+
+
+@pytest.mark.parametrize(
+    "pattern,yes,no",
+    [
+        (r"\*+", ["***"], ["", "a"]), ("[*+]x", ["*x", "+x"], ["x"]), (r"a\?+", ["a??"], ["a"]), ("[a&&b]", ["a", "&", "b"], ["c", ""]), (r"[[:alpha:]_]+", ["ab_"], ["a1", ":"]), (r"a\sb", ["a b", "a\tb"], ["a\x0bb"]),
+        (r"a\vb", ["a\x0bb"], ["a\nb"]), ("a.b", ["a\u2028b", "a\rb"], ["a\nb"]), (r"\Qa.b\E", ["a.b"], ["axb"]), ("(?P<x_y>a)b$", ["ab"], ["ab\n"]), ("x{,2}", ["x{,2}"], ["xx"]), ("[]a]+", ["]a"], ["b"]), (r"a{2,3}?", ["aa", "aaa"], ["a"]),
+        (r"\p{Greek}+", ["αβ"], ["ab"]), (r"\p{^Lu}", ["a"], ["A"]), ("(?i)ab", ["AB"], ["b"]), ("[a[b]", ["[", "a"], ["c"]), (r"\x{1F600}", ["😀"], ["x"]),
+    ],
+)
+def test_patterns_mean_what_re2_means(spark, pattern, yes, no):
+    from marlstone.plans.matchers import whole
+
+    df = spark.createDataFrame([(v, True) for v in yes] + [(v, False) for v in no], "v string, want boolean")
+    assert df.where(F.col("v").rlike(whole(pattern)) != F.col("want")).collect() == []
+    import duckdb
+
+    for v, want in [(v, True) for v in yes] + [(v, False) for v in no]:  # DuckDB's engine is RE2
+        assert duckdb.execute("select regexp_full_match(?, ?)", [v, pattern]).fetchone()[0] is want, (pattern, v)

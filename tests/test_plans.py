@@ -15,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("manual_compact", "recovery", "store_at_version", "stream_ingest")])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("manual_compact", "recovery", "stream_ingest")])
 def test_no_cross_joins_and_no_python(spark, sf_dir, name):
     text = plan(queries.queries()[name](spark, sf_dir))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|Arrow|Pandas", text)
