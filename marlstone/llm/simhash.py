@@ -6,10 +6,12 @@
    segments' bit counts, each 0, 1 or 2. Written in unary (00, 01, 11) it fits a
    64-bit word again, and the Manhattan distance of two vectors is the number of differing
    bits of their words. It is never over the number of differing bits of the fingerprints.
-3. The grid: the 32 coordinates form 6 blocks. Vectors within Manhattan distance 3 differ in
-   at most 3 blocks, so they agree in at least one choice of 3 blocks. Each of the 20
+3. The grid: the 32 coordinates form ``radius + f`` blocks. Vectors within Manhattan distance ``radius`` differ in
+   at most that many blocks, so they agree in at least one choice of ``f`` blocks. Each of the
    choices is a grid; its cells are the values of the chosen coordinates, and pairs within
-   the radius meet in a cell of at least one grid. Cells with one member are dropped.
+   the radius meet in a cell of at least one grid, whatever ``f`` is. Cells with one member are dropped.
+   ``f`` follows the number of fingerprints: with more blocks fixed a fingerprint has more rows, but a cell fewer
+   strangers (a coordinate of a random fingerprint tells 1.4 bits), so that pairs don't grow with the square.
 4. In each cell with more, pairs are cut by Manhattan distance, then verified by the
    differing bits. A task gives a spanning forest of the links it finds, not the links: a
    cell where all are near each other makes as many rows as it has members. A cell
@@ -28,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ PIECE = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Members of a cell that are compared with each other in one piece.
 BLOCK = 1024
-#: Blocks of coordinates that a cell of the grids fixes.
-FIXED = 3
+#: Blocks of coordinates that a cell of the grids fixes, at least and at most.
+FIXED, MOST_FIXED = 3, 9
 
 
 def fingerprint(body: bytes, width: int = SHINGLE) -> int:
@@ -111,14 +114,20 @@ def embedded(fp: Column) -> Column:
     return fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
 
 
-def grid_masks(radius: int = RADIUS) -> list[int]:
-    """For each choice of blocks, the bits of their coordinates. ``radius`` differences leave ``FIXED`` of the blocks alike."""
-    blocks = max(radius, 0) + FIXED
+def fixed_for(n: int, radius: int = RADIUS) -> int:
+    """How many blocks to fix for ``n`` fingerprints: where a fingerprint's rows, and the strangers that it meets in them, are fewest."""
+    some = [f for f in range(FIXED, MOST_FIXED + 1) if radius + f <= 32] or [FIXED]
+    return min(some, key=lambda f: comb(radius + f, f) * (1 + n * 2 ** (-1.4 * 32 * f / (radius + f))))
+
+
+def grid_masks(radius: int = RADIUS, fixed: int = FIXED) -> list[int]:
+    """For each choice of blocks, the bits of their coordinates. ``radius`` differences leave ``fixed`` of the blocks alike."""
+    blocks = max(radius, 0) + fixed
     if blocks > 32:
-        raise ValueError(f"radius {radius}: at most {32 - FIXED}, as there are 32 coordinates")
+        raise ValueError(f"radius {radius}: at most {32 - fixed}, as there are 32 coordinates")
     edges = [32 * i // blocks for i in range(blocks + 1)]
     block = [sum(3 << 2 * c for c in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), FIXED)]
+    return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), fixed)]
 
 
 def _forest(fps: np.ndarray, other: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +206,11 @@ def _linked(radius: int):
     return of
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(classes: DataFrame, radius: int = RADIUS, fixed: int | None = None) -> DataFrame:
     """(a, b): links between different fingerprints of ``classes`` (fp) that connect all within ``radius``."""
     word = F.col("u")
-    cells = F.explode(F.array(*[F.xxhash64(F.lit(k), word.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks(radius))]))
+    fixed = fixed_for(classes.count(), max(radius, 0)) if fixed is None else fixed
+    cells = F.explode(F.array(*[F.xxhash64(F.lit(k), word.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks(radius, fixed))]))
     placed = classes.select("fp", embedded(F.col("fp")).alias("u")).select("fp", cells.alias("cell"))
     counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     met = placed.join(counted, "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
