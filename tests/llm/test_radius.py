@@ -7,16 +7,24 @@ import pytest
 from marlstone.llm import simhash
 
 
-@pytest.mark.parametrize("radius", [0, 3, 4, 6])
-def test_links_reach_the_radius(spark, radius):
+@pytest.mark.parametrize("radius,fixed", [(0, None), (3, None), (4, None), (6, None), (3, 5), (3, 9)])
+def test_links_reach_the_radius(spark, radius, fixed):
     """Pairs whose differing bits stand far apart, one in each block."""
     g = random.Random(radius)
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     pairs = [(a := g.getrandbits(64), a ^ sum(1 << (64 * k // max(radius, 1) + g.randint(0, 8)) for k in range(radius))) for _ in range(40)]
-    links = simhash.links(spark.createDataFrame([(sign(x),) for p in pairs for x in set(p)], "fp long"), radius).collect()
+    links = simhash.links(spark.createDataFrame([(sign(x),) for p in pairs for x in set(p)], "fp long"), radius, fixed).collect()
     assert {frozenset((r["a"], r["b"])) for r in links} == {frozenset(map(sign, p)) for p in pairs if radius}
 
 
 def test_radius_too_wide():
     with pytest.raises(ValueError):
         simhash.grid_masks(30)
+
+
+def test_more_fingerprints_fix_more_blocks():
+    fixed = [simhash.fixed_for(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert fixed[0] == 3 and fixed == sorted(fixed) and fixed[-1] > fixed[0]
+    # Strangers that a random fingerprint meets, at most, with 100 and 10,000 times as many.
+    met = lambda n: len(simhash.grid_masks(3, f := simhash.fixed_for(n))) * n * 2 ** (-1.4 * 32 * f / (3 + f))
+    assert met(10**8) < 60 and met(10**10) < 5000
