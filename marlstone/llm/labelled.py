@@ -59,5 +59,6 @@ def measured(rows: DataFrame, of: Callable[[pa.Array], list[bytes]], step: int =
     kind = dict(rows.dtypes)["id"]
     made = rows.mapInArrow(each, f"id {kind}, told long, y int, made binary").groupBy("id", "told", "y").agg(F.first("made").alias("made")).select("y", "made").toArrow()
     y, things = made.column("y").to_pylist(), made.column("made").to_pylist()
+    del made
     order = sorted(range(len(y)), key=lambda i: (y[i], things[i]))
     return [things[i] for i in order], [y[i] for i in order]

@@ -35,6 +35,8 @@ PIECE = 1 << 19
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of each class, and bytes of their texts, that the fit takes at most: sets of 16 bytes for each byte of text at most.
 PER_CLASS, FIT_BYTES = 1000, 8 << 20
+#: Texts that the fit multiplies together.
+BLOCK = 64
 
 
 def grams(raw: bytes) -> np.ndarray:
@@ -79,47 +81,60 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def ratios(places: np.ndarray, rows: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(r of each place, how many texts have it) of sets given as places and the numbers of their texts."""
-    p, q = (np.bincount(places[y[rows] == label], minlength=1 << BITS) for label in (1, 0))
+def ratios(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(r of each place, how many texts have it)."""
+    p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for places, label in zip(sets, y.tolist(), strict=True):
+        (p if label else q)[places] += 1  # each place is in a set once
     return np.log(((p + alpha) / (y.sum() + 2 * alpha)) / ((q + alpha) / ((1 - y).sum() + 2 * alpha))), p + q
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 5e-4, rounds: int = 120) -> Model:
-    """A model of n-gram sets; classes weigh the same.
+def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: float = 5e-4, rounds: int = 80) -> Model:
+    """A model of n-gram sets, which are used up; classes weigh the same.
 
     Places that only one text has, and the same one, have equal ratios and equal steps, so that their weights
-    stay equal: they are fitted as one weight with their number.
+    stay equal: they are fitted as one weight with their number. Products go through blocks of texts.
     """
     y = np.asarray(y, np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), np.log(0.1 / 0.9))
-    lengths = np.array([len(s) for s in sets])
-    places, rows = np.concatenate(sets).astype(np.int32), np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
-    r, n = ratios(places, rows, y, alpha)
-    alone = n[places] == 1
-    single, mine = places[alone], rows[alone]
-    many = np.bincount(mine, minlength=len(sets)).astype(np.float64)
+    r, n = ratios(sets, y, alpha)
     shared = np.flatnonzero(n > 1)
     number = np.full(1 << BITS, -1, np.int32)
     number[shared] = np.arange(len(shared), dtype=np.int32)
-    cols, rows = number[places[~alone]], rows[~alone]
-    del places
-    starts, some = np.unique(rows, return_index=True)[::-1]
+    single, many, blocks, held = [], np.zeros(len(sets)), [], []
     # The shared places, then each text's own.
     scale = np.concatenate([r[shared], np.zeros(len(sets))])
-    scale[len(shared) + mine] = r[single]
+    sets.reverse()
+    for k in range(len(y)):
+        places = sets.pop()
+        mine = places[n[places] == 1]
+        single.append(mine)
+        many[k] = len(mine)
+        if len(mine):
+            scale[len(shared) + k] = r[mine[0]]
+        cols = number[places]
+        held.append(cols[cols >= 0])
+        if len(held) == BLOCK or k == len(y) - 1:
+            lengths = np.array([len(c) for c in held])
+            some = np.flatnonzero(lengths)
+            blocks.append((k + 1 - len(held) + some, lengths[some], np.concatenate(held)))
+            held = []
     weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
     def times(w: np.ndarray) -> np.ndarray:
         scaled = w * scale
         out = scaled[len(shared) :] * many
-        if len(some):
-            out[some] += np.add.reduceat(scaled[cols], starts)
+        for rows, lengths, cols in blocks:
+            if len(rows):
+                out[rows] += np.add.reduceat(scaled[cols], np.cumsum(lengths) - lengths)
         return out
 
     def back(g: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(cols, g[rows], len(shared)), g]) * scale
+        out = np.zeros(len(shared))
+        for rows, lengths, cols in blocks:
+            out += np.bincount(cols, np.repeat(g[rows], lengths), len(shared))
+        return np.concatenate([out, g]) * scale
 
     w, b = np.zeros(len(scale)), 0.0
     count = np.concatenate([np.ones(len(shared)), many])
@@ -139,7 +154,8 @@ def fit(sets: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, penalty: floa
         look, last, t = w + (t - 1) / t_next * (w - last), w, t_next
     weights = np.zeros(1 << BITS)
     weights[shared] = (w * scale)[: len(shared)]
-    weights[single] = (w * scale)[len(shared) + mine]
+    for k, mine in enumerate(single):
+        weights[mine] = (w * scale)[len(shared) + k]
     return Model(weights, b)
 
 
