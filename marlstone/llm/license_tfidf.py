@@ -137,9 +137,10 @@ def own(files: DataFrame, templates: Templates | None = None) -> DataFrame:
     """
     spark = files.sparkSession
     listed = template_terms(templates)
-    vocabulary = F.broadcast(spark.createDataFrame([(t,) for t in sorted({t for *_, t, _ in listed})], "term string"))
+    known = sorted({t for *_, t, _ in listed})
+    vocabulary = F.broadcast(spark.createDataFrame([(t,) for t in known], "term string"))
     # As many rows as the templates have terms, and one with the number of files.
-    counted = files.select(F.explode(F.concat(F.array_distinct(_terms(F.col("text"))), F.array(F.lit("")))).alias("term")).join(vocabulary.unionByName(spark.createDataFrame([("",)], "term string")), "term")
+    counted = files.select(F.explode(F.concat(F.array_intersect(_terms(F.col("text")), F.lit(known)), F.array(F.lit("")))).alias("term"))
     df = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.count("*").alias("n")).collect()}
     n_all = df.get("", 0) + len({t for t, *_ in listed})
     idf = {}
@@ -150,24 +151,27 @@ def own(files: DataFrame, templates: Templates | None = None) -> DataFrame:
         weights.setdefault(template, {})[t] = (1 + log(n)) * idf[t]
     asked = F.lit(needed(weights))
     about = {template: (license, title) for template, license, title, *_ in listed}
-    rows = [(template, *about[template], t, w / sum(x * x for x in ws.values()) ** 0.5, idf[t]) for template, ws in weights.items() for t, w in ws.items()]
-    weighed = F.broadcast(spark.createDataFrame(rows, "template string, license string, title boolean, term string, share double, idf double"))
+    rows = [(template, t, w / sum(x * x for x in ws.values()) ** 0.5, idf[t]) for template, ws in weights.items() for t, w in ws.items()]
+    weighed = F.broadcast(spark.createDataFrame(rows, "template string, term string, share double, idf double"))
     rarity = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
 
-    some = files.where(F.arrays_overlap(_terms(F.col("text")), asked)).dropDuplicates(["rid"])
-    each = some.select("rid", F.posexplode(units(F.col("text"))).alias("unit", "u")).select("rid", "unit", _terms(F.col("u")).alias("terms")).where(F.arrays_overlap("terms", asked))
-    u = settle(each.select("rid", "unit", F.size("terms").alias("n"), "terms"))
-    # A row for each (unit, term), with the number of times.
-    hits = settle(u.select("rid", "unit", "n", F.explode("terms").alias("term")).join(vocabulary, "term").groupBy("rid", "unit", "n", "term").agg(F.count("*").alias("tf")))
+    some = files.where(F.arrays_overlap(_terms(F.col("text")), asked)).withColumn("row", F.monotonically_increasing_id())
+    each = some.select("rid", "row", F.posexplode(units(F.col("text"))).alias("unit", "u")).select("rid", "row", "unit", _terms(F.col("u")).alias("terms")).where(F.arrays_overlap("terms", asked))
+    # A row for each (unit, term) of a file's row, with the number of times; then once for equal rows. Texts aren't shuffled, nor terms of no template.
+    own = each.select("rid", "row", "unit", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(vocabulary, "term").groupBy("rid", "row", "unit", "n", "term").agg(F.count("*").alias("tf"))
+    hits = settle(own.groupBy("rid", "unit", "n", "term").agg(F.max("tf").alias("tf")))
     weight = (1 + F.log("tf")) * F.col("idf")
     norms = hits.join(rarity, "term").groupBy("rid", "unit", "n").agg(F.sum(F.pow(weight, 2)).alias("known"), F.sum("tf").alias("n_known"))
-    dots = hits.join(weighed, "term").groupBy("rid", "unit", "template", "license", "title").agg(F.sum(weight * F.col("share")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.sqrt(F.col("known") + (F.col("n") - F.col("n_known"))), PLACES)
-    scored = dots.join(norms, ["rid", "unit"]).withColumn("cosine", cosine).where(F.col("cosine") >= LEAST)
+    # No cosine is over the share of a unit's length that known terms have, so most units go before they meet templates.
+    square = F.col("known") + (F.col("n") - F.col("n_known"))
+    enough = settle(norms.where(F.col("known") >= (LEAST - 1e-5) ** 2 * square).select("rid", "unit", F.sqrt(square).alias("size"), (F.col("n_known") >= SHARE * F.col("n")).alias("known_text")))
+    dots = hits.join(enough, ["rid", "unit"]).join(weighed, "term").groupBy("rid", "unit", "template").agg(F.sum(weight * F.col("share")).alias("dot"), F.first("size").alias("size"))
+    told = F.broadcast(spark.createDataFrame([(template, *x) for template, x in about.items()], "template string, license string, title boolean"))
+    scored = dots.withColumn("cosine", F.round(F.col("dot") / F.col("size"), PLACES)).where(F.col("cosine") >= LEAST).join(told, "template")
     like = ((F.col("unit") == 0) & (F.col("cosine") >= FILE_LEAST)) | (F.col("title") & (F.col("unit") == 1) & (F.col("cosine") >= TITLE_LEAST))
     by_license = scored.groupBy("rid", "license").agg(F.max("cosine").alias("cosine"), F.max((F.col("unit") == 0) & (F.col("cosine") >= FILE_LEAST)).alias("whole"), F.max(like).alias("headed"))
     best = by_license.groupBy("rid").agg(F.min(F.struct((F.col("license") == LAST).alias("last"), (-F.col("cosine")).alias("less"), "license", "whole", "headed")).alias("b"))
-    shares = norms.where("unit = 0").select("rid", (F.col("n_known") >= SHARE * F.col("n")).alias("known_text"))
+    shares = enough.where("unit = 0").select("rid", "known_text")
     out = best.join(shares, "rid", "left")
     return out.select("rid", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"), (F.col("b.whole") | (F.col("b.headed") & F.coalesce("known_text", F.lit(False)))).alias("like_file"))
 
