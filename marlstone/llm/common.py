@@ -76,15 +76,34 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet files in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
-_TABLES: list[tuple[SparkSession, str]] = []
+def forget(*used: DataFrame) -> None:
+    """Removes the files of what ``settle`` or ``shared_table`` gave, once all that was made of it is settled itself."""
+    for df in used:
+        spark, path = df.sparkSession, getattr(df, "shared_path", None)
+        if path is None:
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            path = file.get() if file.isDefined() else None
+        if path is not None:
+            _remove(spark, path)
+            _TABLES[:] = [x for x in _TABLES if x[1] != path]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_shared_tables() -> None:
@@ -92,8 +111,7 @@ def drop_shared_tables() -> None:
     while _TABLES:
         spark, path = _TABLES.pop()
         if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
 
 
 @atexit.register

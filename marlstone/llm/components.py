@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 
 def _star(pairs: DataFrame, keep: F.Column) -> DataFrame:
@@ -21,15 +21,24 @@ def _star(pairs: DataFrame, keep: F.Column) -> DataFrame:
     return hung.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(a, b) long -> (node, root): root is the least node of its component. Nodes without an edge don't appear."""
+def components(edges: DataFrame, most: int = 60, settled: bool = True) -> DataFrame:
+    """(a, b) long -> (node, root): root is the least node of its component. Nodes without an edge don't appear.
+
+    With ``settled=False``, after two rounds: a root is some lesser node of the component, and a node may have several.
+    """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     said = None
     for _ in range(most):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, F.col("v") > F.col("u"))
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        now = settle(_star(down, F.lit(True)))
+        before, now = now, settle(_star(down, F.lit(True)))
+        forget(before)
+        if not settled:
+            if said:
+                return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            said = (0,)
+            continue
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == said:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
