@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a Jaccard similarity of five-word shingles of 0.8 or more links: the one with the least id."""
+    """One document of each group that a Jaccard similarity of five-word shingles of 0.8 or more links, by SimHash and an exact join for the rest: the one with the least id."""
     return jaccard.keep_one(docs)
 
 

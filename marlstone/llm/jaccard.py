@@ -1,15 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: all pairs at or above it, by an exact prefix join.
+"""Near-duplicates by SimHash, checked by the Jaccard similarity of word shingles; an exact prefix join finds what the fingerprints miss.
 
 1. A text is the set of the XXH64 hashes of its five-word shingles. Equal sets are one class from here on.
-2. Shingles have one global order: those seldom seen first. The counts come from a sample, which
+2. A class's fingerprint is the bitwise majority of its hashes. ``simhash.links`` finds the fingerprints within ``RADIUS`` bits by
+   segment bit counts and grids; the classes of linked fingerprints are pairs to check.
+3. Similar sets may have fingerprints farther apart (about 10 bits at 4/5), so an exact way finds the rest. Shingles have one global order: those seldom seen first. The counts come from a sample, which
    moves only the cost: any one order gives the same pairs. Two sets with similarity 4/5 or more share a
    shingle among the first ``n - ceil(4 n / 5) + 1`` of each, so each set is dealt to the cells of those.
-3. A class is first compared with the least classes of up to ``SEEDS`` of its cells. The links
+4. The pairs of the fingerprints, and of each class with the least classes of up to ``SEEDS`` of its cells, are checked. The links
 found put classes under roots, and then all pairs of a cell whose roots differ are compared. Pairs that
 their sizes, their places in the order, or their sketches rule out are left out, small sketches in the cell and wide ones before sets are joined; all others are checked on the
 whole sets. A sketch has the parity of the set's hashes in each residue: two sketches never differ in more bits
 than the sets have shingles apart, so no similar pair is ruled out.
-4. Components of the links.
+5. Components of the links.
 
 Defined cases: lower-cased like ``simhash``; fewer words than a shingle are one shingle; null and wordless texts are
 one class; shingles count once; a null id is never a component's id unless all its ids are null; an id on
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, by_place, forget, null_safe, parts, pick, place, raw_texts, renamed, row_digest, settle, shared_table, slices
 from .components import components
-from .simhash import SEED, _runs
+from .simhash import SEED, _runs, _signed, fingerprint_of, fixed_for
+from .simhash import links as linked_fingerprints
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 UP, DOWN = 4, 5
 #: One class in so many is counted for the order of shingles, and the most shingles that the order puts last.
 SAMPLE, FREQUENT = 16, 1 << 16
+#: Bits that fingerprints may differ in, and how many strangers in a cell of their grids cost as much as one row more.
+RADIUS, STRANGERS = 5, 512
 #: Classes that a class is compared with before all others.
 SEEDS = 4
 #: Pairs that a task gives at once.
@@ -84,16 +89,16 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, told (the text's digest), cls (the set's digest), the set's sketches and the set, of each row."""
+    """doc_id, told (the text's digest), cls (the set's digest), the set's fingerprint, its sketches and the set, of each row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             every = [shingles(t.translate(LOWER)) for t in raw_texts(b.column("text"))]
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in every], np.uint64).view(np.int64)
-            own = [pa.array(cls), pa.array([sketch(s) for s in every], pa.list_(pa.int64())), pa.array([len(s) for s in every], pa.int64()), pa.array([wide_sketch(s) for s in every], pa.binary()), pa.array([s.tobytes() for s in every], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("told"), *own], ["doc_id", "told", "cls", "sketch", "size", "wide", "shingles"])
+            own = [pa.array(cls), pa.array([_signed(fingerprint_of(s)) for s in every], pa.int64()), pa.array([sketch(s) for s in every], pa.list_(pa.int64())), pa.array([len(s) for s in every], pa.int64()), pa.array([wide_sketch(s) for s in every], pa.binary()), pa.array([s.tobytes() for s in every], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("told"), *own], ["doc_id", "told", "cls", "fp", "sketch", "size", "wide", "shingles"])
 
-    return pick(docs, doc_id=id_col, text=text_col).withColumn("told", told(F.col("text"))).mapInArrow(of, "doc_id long, told long, cls long, sketch array<long>, size long, wide binary, shingles binary")
+    return pick(docs, doc_id=id_col, text=text_col).withColumn("told", told(F.col("text"))).mapInArrow(of, "doc_id long, told long, cls long, fp long, sketch array<long>, size long, wide binary, shingles binary")
 
 
 def told(text: Column) -> Column:
@@ -259,8 +264,22 @@ def _checked(pairs: DataFrame, rows: DataFrame, sketches: DataFrame) -> DataFram
     return out
 
 
+def near_fingerprints(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of different classes, not yet checked, that connect all whose fingerprints are equal or linked within ``RADIUS``."""
+    classes = rows.select("cls", "fp").distinct()
+    least = settle(classes.groupBy("fp").agg(F.min("cls").alias("cls")))
+    found = linked_fingerprints(least.select("fp"), RADIUS, fixed_for(least.count() // STRANGERS, RADIUS))
+    ends = [least.select(F.col("fp").alias(x), F.col("cls").alias(f"{x}_cls")) for x in ("a", "b")]
+    linked = found.distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
+    same = classes.join(least.withColumnRenamed("cls", "a"), "fp").where("a <> cls").select("a", F.col("cls").alias("b"))
+    out = settle(linked.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    forget(least)
+    return out
+
+
 def links(rows: DataFrame) -> DataFrame:
     """(a, b): links between different classes of ``rows``, as ``sets`` has them, that connect all that are similar."""
+    near = near_fingerprints(rows)
     cells = shared_table(_cells(rows), "cells")
     near_sizes = F.lit(DOWN) * F.least("n", "least_n") >= F.lit(UP) * F.greatest("n", "least_n")
     # The least classes of some of its cells stand for what a class meets there.
@@ -269,13 +288,13 @@ def links(rows: DataFrame) -> DataFrame:
     asked = met.repartition(parts(rows.sparkSession), "b").distinct().withColumn("nth", nth).where(F.col("nth") <= SEEDS).select("a", "b")
     # Sketches go with the classes of shared cells only.
     sketches = shared_table(rows.select("cls", "sketch", "size", "wide").join(cells.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
-    first = _checked(asked, rows, sketches)
+    first = _checked(near.unionByName(asked), rows, sketches)
     roots = components(first, settled=False).groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "cls")
     own = sketches.select("cls", "sketch").join(roots, "cls", "left")
     words = [F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS)]
     rooted = cells.select("cell", "cls", "n", "at").join(settle(own), "cls").select("cell", F.coalesce("root", "cls").alias("root"), "cls", "n", "at", *words)
     second = _checked(_by_cell(rooted, ["cell", "root", "cls", "n", "at", *[f"s{k}" for k in range(WORDS)]], _across, ["a", "b"]), rows, sketches)
-    forget(cells, sketches)
+    forget(near, cells, sketches)
     return first.unionByName(second)
 
 

@@ -61,9 +61,24 @@ def fingerprint(body: bytes, width: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashed = xxhash.xxh64_intdigest
         hashes = np.fromiter([hashed(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64, n)
-        for at in range(0, n, 1 << 16):
-            counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += _bit_counts(hashes)
         total += n
+    return _majority(counts, total)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles' hashes."""
+    return _majority(_bit_counts(hashes), len(hashes))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def _majority(counts: np.ndarray, total: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > total).tolist()) if total else 0
 
 

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from marlstone.llm import jaccard
@@ -70,3 +71,37 @@ def test_repeated_ids_and_none(spark):
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [rows[0], rows[1], rows[4], rows[5]]))
     assert jaccard.keep_one(kept.limit(0)).count() == 0
+
+
+def majority(t):
+    """The fingerprint of the set of a text's five-word shingles."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(t)]
+    return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
+
+
+def test_near_fingerprints(spark, monkeypatch):
+    """The stage takes its pairs from the fingerprints' grids: they connect all within the radius, and the stage links by them."""
+    rows = [(i, t) for i, t in made(3) if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard.sets(docs).cache()
+    of = {r["doc_id"]: r["cls"] for r in sets.collect()}
+    fps = {r["doc_id"]: r["fp"] % (1 << 64) for r in sets.collect()}
+    assert fps == {i: majority(t) for i, t in rows}
+
+    def joined(links):
+        root = {c: c for c in of.values()}
+        for a, b in links:
+            if root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = {c: new if r == old else r for c, r in root.items()}
+        return {frozenset(c for c in root if root[c] == r) for r in set(root.values())}
+
+    near = [(of[i], of[j]) for i, j in combinations(of, 2) if of[i] != of[j] and (fps[i] ^ fps[j]).bit_count() <= jaccard.RADIUS]
+    got = [(r["a"], r["b"]) for r in jaccard.near_fingerprints(sets).collect()]
+    assert near and joined(got) == joined(near)
+
+    # Without the exact way for the rest, what the fingerprints link still goes.
+    monkeypatch.setattr(jaccard, "SEEDS", 0)
+    monkeypatch.setattr(jaccard, "_across", lambda cell: iter(()))
+    kept = corpus_pipeline.near_dedup(spark, docs, None).count()
+    assert len(least_ids(rows)) <= kept < len(set(of.values()))
