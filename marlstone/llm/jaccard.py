@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, by_place, forget, null_safe, parts, pick, place, raw_texts, renamed, row_digest, settle, shared_table, slices
-from .components import components
+from .components import FEW, components
 from .simhash import SEED, _runs, _signed, fingerprint_of, fixed_for
 from .simhash import links as linked_fingerprints
 
@@ -289,7 +289,7 @@ def links(rows: DataFrame) -> DataFrame:
     # Sketches go with the classes of shared cells only.
     sketches = shared_table(rows.select("cls", "sketch", "size", "wide").join(cells.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
     first = _checked(near.unionByName(asked), rows, sketches)
-    roots = components(first, settled=False).groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "cls")
+    roots = components(first, settled=False, few=FEW).groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "cls")
     own = sketches.select("cls", "sketch").join(roots, "cls", "left")
     words = [F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS)]
     rooted = cells.select("cell", "cls", "n", "at").join(settle(own), "cls").select("cell", F.coalesce("root", "cls").alias("root"), "cls", "n", "at", *words)
@@ -300,7 +300,7 @@ def links(rows: DataFrame) -> DataFrame:
 
 def near_dups(rows: DataFrame) -> DataFrame:
     """``rows``, as ``sets`` has them -> cls, root: the least class that links lead to, of each class."""
-    roots = components(links(rows)).withColumnRenamed("node", "cls")
+    roots = components(links(rows), few=FEW).withColumnRenamed("node", "cls")
     return rows.select("cls").distinct().join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
 
 

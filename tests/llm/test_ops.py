@@ -496,6 +496,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges(spark):
+    """One task joins few edges, with the rounds' result; a chain needs many rounds, each with its jobs on the driver."""
+    g = random.Random(5)
+    edges = [(i, i + 1) for i in range(300)] + [(g.randint(10**6, 10**6 + 400), g.randint(10**6, 10**6 + 400)) for _ in range(250)] + [(-5, 2**62), (-(2**62), -5), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few edges")
+    few = components.components(df, few=components.FEW)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 8
+    assert sorted(few.collect()) == sorted(components.components(df).collect())
+    assert sorted(components.components(df, few=10).collect()) == sorted(few.collect())
+    assert components.components(df.limit(0), few=components.FEW).count() == 0
+
+
+def test_sets_reach_the_driver_small(spark):
+    """The fit's sets are a third of their places' four bytes, and come back whole."""
+    for text in (b"", b"a", "zé ñu 🙂".encode() * 40, " ".join(f"w{k * 7919 % 5003}" for k in range(2000)).encode()):
+        places = nb_toxic.grams(text)
+        made = nb_toxic.packed(places)
+        assert np.array_equal(nb_toxic.unpacked(made), np.sort(places))
+        assert len(made) < 64 + 4 * len(places) // 3
+
+
 def test_near_dups_keep_one(odd):
     kept = simhash.keep_one(odd)
     want = set(plain.components([(i, plain.fingerprint(t)) for i, t in rows_of(odd) if i is not None]).values())
