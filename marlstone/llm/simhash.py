@@ -9,13 +9,14 @@
 3. The grid: the 32 coordinates form ``radius + f`` blocks. Vectors within Manhattan distance ``radius`` differ in
    at most that many blocks, so they agree in at least one choice of ``f`` blocks. Each of the
    choices is a grid; its cells are the values of the chosen coordinates, and pairs within
-   the radius meet in a cell of at least one grid, whatever ``f`` is. Cells with one member are dropped.
-   ``f`` follows the number of fingerprints: with more blocks fixed a fingerprint has more rows, but a cell fewer
+   the radius meet in a cell of at least one grid, whatever ``f`` is. A fingerprint has one row in each grid, shuffled once
+   by cell, however many share the cell. ``f`` follows the number of fingerprints: with more blocks fixed a fingerprint has more rows, but a cell fewer
    strangers (a coordinate of a random fingerprint tells 1.4 bits), so that pairs don't grow with the square.
-4. In each cell with more, pairs are cut by Manhattan distance, then verified by the
+4. In each cell with more than one, pairs are cut by Manhattan distance, then verified by the
    differing bits. A task gives a spanning forest of the links it finds, not the links: a
-   cell where all are near each other makes as many rows as it has members. A cell
-   over ``BLOCK`` members is dealt out as pairs of blocks, each a task's share.
+   cell where all are near each other makes no more rows than it has members. A cell over ``BLOCK`` members is cut, in its
+   task, by grids of its own over the coordinates that its members differ in, as often as that halves the pairs at least; what is
+   left is searched from each member for those that none has reached.
 5. Components of the forests.
 
 Defined cases: a null or wordless text has fingerprint 0, linked like any other; fewer words
@@ -45,8 +46,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bytes of a text that are hashed together.
 PIECE = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-#: Members of a cell that are compared with each other in one piece.
-BLOCK = 1024
+#: Members of a cell up to which all its pairs are compared with those of other cells at once, and up to which it has no grids of its own.
+SMALL, BLOCK = 64, 1 << 15
 #: Blocks of coordinates that a cell of the grids fixes, at least and at most.
 FIXED, MOST_FIXED = 3, 9
 
@@ -145,96 +146,134 @@ def grid_masks(radius: int = RADIUS, fixed: int = FIXED) -> list[int]:
     return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), fixed)]
 
 
-def _forest(fps: np.ndarray, other: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (lesser index, greater index) that span what is linked, within ``fps`` or between it and ``other``."""
-    every = fps if other is None else np.concatenate([fps, other])
-    root = np.arange(len(every))
+def _unary(fps: np.ndarray) -> np.ndarray:
+    """The unary words of the bit counts, as ``embedded`` has them."""
+    low, half = np.uint64(0x5555555555555555), fps >> np.uint64(1)
+    return ((fps | half) & low) | ((fps & half & low) << np.uint64(1))
+
+
+def _near(fps: np.ndarray, unary: np.ndarray, i, j, radius: int) -> np.ndarray:
+    """Which of the pairs of places i, j are links: by Manhattan distance first, then by the differing bits."""
+    close = np.flatnonzero(np.bitwise_count(unary[i] ^ unary[j]) <= radius)
+    return close[np.bitwise_count(fps[i[close]] ^ fps[j[close]]) <= radius]
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all of them do, without a cycle."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(len(nodes)))
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
-            i = int(root[i])
+            i = root[i]
         return i
 
-    low = np.uint64(0x5555555555555555)
-    half = every >> np.uint64(1)
-    unary = ((every | half) & low) | ((every & half & low) << np.uint64(1))
-    kept: list[tuple[int, int]] = []
-    first = 1 if other is None else len(fps)
-    for j in range(first, len(every)):
-        upto = j if other is None else len(fps)
-        near = np.flatnonzero(np.bitwise_count(unary[:upto] ^ unary[j]) <= radius)
-        near = near[np.bitwise_count(every[near] ^ every[j]) <= radius]
-        if len(near) > 8:  # one link for each tree is enough
-            near = near[np.unique(root[near], return_index=True)[1]]
-        for i in near.tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                kept.append((i, j))
-    if not kept:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    at = np.array(kept)
-    return every[at[:, 0]], every[at[:, 1]]
+    kept = []
+    for k, (i, j) in enumerate(zip(*ends.reshape(2, -1).tolist(), strict=True)):
+        i, j = find(i), find(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def _flood(fps: np.ndarray, radius: int) -> tuple[list, list]:
+    """Links that span a cell, from each member to those that none has reached before, so that a member of a dense cell meets what is left only."""
+    left, unary = fps, _unary(fps)
+    a, b = [], []
+    while len(left) > 1:
+        front, left, unary = [(left[0], unary[0])], left[1:], unary[1:]
+        while front and len(left):
+            x, u = front.pop()
+            near = np.flatnonzero(np.bitwise_count(unary ^ u) <= radius)
+            if len(near) and len(near := near[np.bitwise_count(left[near] ^ x) <= radius]):
+                a.append(np.full(len(near), x))
+                b.append(left[near])
+                front += zip(left[near], unary[near], strict=True)
+                left, unary = np.delete(left, near), np.delete(unary, near)
+    return a, b
+
+
+def _large(fps: np.ndarray, radius: int) -> tuple[list, list]:
+    """Links that span a cell. One over ``BLOCK`` members has grids of its own, one block fixed of those that its members differ in, if these halve the pairs at least."""
+    if len(fps) > BLOCK:
+        unary = _unary(fps)
+        differ = int(np.bitwise_or.reduce(unary ^ unary[0]))
+        inner, pairs = [], 0
+        for part in np.array_split([c for c in range(32) if differ >> 2 * c & 3], max(radius, 0) + 1):
+            key = unary & np.uint64(sum(3 << 2 * int(c) for c in part))
+            order = np.argsort(key, kind="stable")
+            pairs += int((np.unique(key, return_counts=True)[1] ** 2).sum())
+            inner.append((key[order], fps[order]))
+        if 2 * pairs <= len(fps) ** 2:
+            found = [_within(*x, radius) for x in inner]
+            return [x for f in found for x in f[0]], [x for f in found for x in f[1]]
+    return _flood(fps, radius)
+
+
+def _within(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list, list]:
+    """Links that span what is linked in each of the cells, which stand in order: all pairs of small ones at once, large ones one by one."""
+    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    size = np.diff(np.concatenate((starts, [len(cell)])))
+    a, b = [], []
+    few = np.repeat((size > 1) & (size <= SMALL), size)
+    own, some = cell[few], fps[few]
+    unary, at = _unary(some), np.arange(len(some))
+    for k in range(1, SMALL):
+        at = at[: np.searchsorted(at, len(own) - k)]
+        at = at[own[at] == own[at + k]]
+        if not len(at):
+            break
+        near = at[_near(some, unary, at, at + k, radius)]
+        a.append(some[near])
+        b.append(some[near + k])
+    for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        found = _large(fps[s : s + n], radius)
+        a += found[0]
+        b += found[1]
+    return a, b
+
+
+def _links_of(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what is linked in any of the cells, which stand in order."""
+    return _spanning(*(np.concatenate(x or [np.empty(0, np.uint64)]) for x in _within(cell, fps, radius)))
 
 
 def _linked(radius: int):
-    """Cells in order, each (cell, i, j) together -> links."""
+    """Cells in order, each (cell, fp) together -> links."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = None, np.empty(0, np.uint64)
-
-        def batch(found: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([x[k] for x in found] or [np.empty(0, np.uint64)]).view(np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        def groups(keys: np.ndarray, fps: np.ndarray, found: list) -> None:
-            cut = np.flatnonzero(np.any(keys[1:, :3] != keys[:-1, :3], axis=1)) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(fps)], strict=True):
-                if e - s < 2:
-                    continue
-                i, j = keys[s, 1], keys[s, 2]
-                if i == j:
-                    found.append(_forest(np.unique(fps[s:e]), None, radius))
-                else:
-                    mine = keys[s:e, 3] == i
-                    found.append(_forest(fps[s:e][mine], fps[s:e][~mine], radius))
-
-        for b in batches:
-            new = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "i", "j", "mine")], axis=1)
-            got = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            keys, fps = (new, got) if keys is None else (np.concatenate([keys, new]), np.concatenate([fps, got]))
-            if not len(fps):
+        def batch(cells: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _links_of(np.concatenate(cells), np.concatenate(fps).view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+
+        cells: list[np.ndarray] = []
+        fps: list[np.ndarray] = []
+        for got in batches:
+            if not got.num_rows:
                 continue
-            whole = np.flatnonzero(np.any(keys[:, :3] != keys[-1, :3], axis=1))
-            upto = int(whole[-1]) + 1 if len(whole) else 0
-            if upto:
-                found: list = []
-                groups(keys[:upto], fps[:upto], found)
-                keys, fps = keys[upto:], fps[upto:]
-                yield batch(found)
-        if keys is not None and len(fps):
-            found = []
-            groups(keys, fps, found)
-            yield batch(found)
+            cell, fp = (got.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp"))
+            last = int(np.searchsorted(cell, cell[-1]))
+            if last or (cells and cells[-1][-1] != cell[0]):
+                yield batch([*cells, cell[:last]], [*fps, fp[:last]])
+                cells, fps = [], []
+            cells.append(cell[last:])
+            fps.append(fp[last:])
+        if cells:
+            yield batch(cells, fps)
 
     return of
 
 
 def links(classes: DataFrame, radius: int = RADIUS, fixed: int | None = None) -> DataFrame:
-    """(a, b): links between different fingerprints of ``classes`` (fp) that connect all within ``radius``."""
+    """(a, b): links between different fingerprints of ``classes`` (fp, each once) that connect all within ``radius``."""
     word = F.col("u")
     fixed = fixed_for(classes.count(), max(radius, 0)) if fixed is None else fixed
     cells = F.explode(F.array(*[F.xxhash64(F.lit(k), word.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks(radius, fixed))]))
     placed = classes.select("fp", embedded(F.col("fp")).alias("u")).select("fp", cells.alias("cell"))
-    counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = placed.join(counted, "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    met = met.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
-    # The pairs of blocks that a member's block is in, itself with itself among them.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = met.select("fp", "cell", "mine", other).select("fp", "cell", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     n = parts(classes.sparkSession)
-    return dealt.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "fp").mapInArrow(_linked(radius), "a long, b long")
+    return placed.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_linked(radius), "a long, b long")
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
